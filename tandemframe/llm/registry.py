@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, toxicity
+from . import byte_bpe, class_lm, exact_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_byte_bpe": byte_bpe.query,
         "op4_toxicity": toxicity.query,
         "op6_exact_dedup": exact_dedup.query,
+        "op10_class_lm": class_lm.query,
     }
 
 

@@ -9,6 +9,7 @@ executors, each text on its own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,23 +137,20 @@ def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.5) -
     """All rows of ``docs`` as they are, with score and predicted; columns of
     those names in the input are replaced. Null and empty texts get the score
     of a text without terms."""
-    spark = docs.sparkSession
     # most of a machine is zero: its non-zero rows travel
     at = np.flatnonzero(machine.w.astype(bool) | machine.v.any(1)).astype(np.int32)
-    sent = spark.sparkContext.broadcast((machine.b, at, machine.w[at], machine.v[at], machine.dims))
-    docs = docs.drop("score", "predicted")
-    schema = docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
+    sent = docs.sparkSession.sparkContext.broadcast((machine.b, at, machine.w[at], machine.v[at], machine.dims))
 
-    def scored(frames):
+    @F.pandas_udf("double")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         b, at, w_at, v_at, dims = sent.value
         w, v = np.zeros(dims, np.float32), np.zeros((dims, v_at.shape[1]), np.float32)
         w[at], v[at] = w_at, v_at
         m, hasher = Machine(b, w, v, dims), TermHasher(dims)
-        for f in frames:
-            s = np.array([m.score(hasher(t)) for t in f.text], float)
-            yield f.assign(score=s, predicted=(s >= threshold).astype("int32"))
+        for t in texts:
+            yield pd.Series([m.score(hasher(x)) for x in t], dtype=float)
 
-    return docs.mapInPandas(scored, schema)
+    return docs.withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
