@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, class_lm, exact_dedup, toxicity
+from . import byte_bpe, byte_gru, class_lm, exact_dedup, parity_join, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_byte_bpe": byte_bpe.query,
         "op4_toxicity": toxicity.query,
+        "op5_parity_join": parity_join.query,
         "op6_exact_dedup": exact_dedup.query,
+        "op9_byte_gru": byte_gru.query,
         "op10_class_lm": class_lm.query,
     }
 
