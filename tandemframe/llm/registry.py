@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, byte_gru, class_lm, exact_dedup, parity_join, toxicity
+from . import byte_bpe, byte_gru, class_lm, exact_dedup, parity_join, syncmers, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_syncmers": syncmers.query,
         "op2_byte_bpe": byte_bpe.query,
         "op4_toxicity": toxicity.query,
         "op5_parity_join": parity_join.query,
