@@ -1,19 +1,72 @@
 """A corpus cleaned in stages, each written as Parquet and read again.
 
-``STAGES`` lists (name, function); every function takes (spark, docs, sf_dir).
+``STAGES`` lists (name, function). A function takes (spark, docs, sf_dir) and
+works on all that the one before kept; all but the last return the columns of
+the documents.
 """
 
 from __future__ import annotations
 
-from tandemframe.llm.common import cut, documents, table
-from tandemframe.llm.toxicity import score_documents, train
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tandemframe.llm import byte_gru, packing
+from tandemframe.llm import toxicity as toxic
+from tandemframe.llm.common import cut, documents, lower_ascii, table
+from tandemframe.llm.exact_dedup import exact_dedup
+from tandemframe.llm.parity_join import ngram_jaccard
+
+#: Below this mean probability of its best language a text is in none of them.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def toxicity(spark, docs, sf_dir):
+    """Documents that the factorization machine predicts to be toxic go."""
+    machine = toxic.train(docs, table(spark, sf_dir, "labels"))
+    return toxic.score_documents(docs, machine).where("predicted = 0").select(*docs.columns)
+
+
+def language_id(spark, docs, sf_dir):
+    """Documents without a letter, or in none of the learned languages, go."""
+    labelled = byte_gru.predict(docs, byte_gru.train(docs))
+    return labelled.where((F.col("lang_pred") != byte_gru.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def exact_duplicates(spark, docs, sf_dir):
+    """Of texts that are equal but for the case of A-Z one document stays, that
+    with the largest id; rows that repeat an id and its text are one document."""
+    kept = cut(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "kept")
+    repeated = not kept.groupBy("_id", "_sha").count().where("count > 1").isEmpty()
+    sha = F.sha2(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary"), 256)
+    own = docs.withColumn("_digest", sha).join(kept.distinct() if repeated else kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
+    return (own.dropDuplicates(["doc_id", "_digest"]) if repeated else own).select(*docs.columns)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Of documents connected by links of the n-gram Jaccard join one stays, that
+    with the least id."""
+    heads = ngram_jaccard(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
+    return docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+
+
+def best_fit_packing(spark, docs, sf_dir):
+    """What is left, packed into sequences: a row for each piece."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("language ID", language_id),
+    ("exact dedup", exact_duplicates),
+    ("n-gram Jaccard join", near_duplicates),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Trained models aren't expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, byte_gru, class_lm, exact_dedup, parity_join, syncmers, toxicity
+from . import byte_bpe, byte_gru, class_lm, exact_dedup, packing, parity_join, syncmers, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.query,
         "op5_parity_join": parity_join.query,
         "op6_exact_dedup": exact_dedup.query,
+        "op7_packing": packing.query,
         "op9_byte_gru": byte_gru.query,
         "op10_class_lm": class_lm.query,
     }
