@@ -18,6 +18,7 @@ size. Only what steps 2 and 3 need, a matrix of types, meets on the driver.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_blocks as wb
-from .common import crc_bucket, crc_bucket_py, cut, documents
+from .common import crc_bucket, crc_bucket_py, documents
 
 FOLDS, HELD_OUT = 7, 2
 #: Words that are types of their own, and classes.
@@ -144,20 +145,31 @@ def vocabulary(docs: DataFrame, frequent: int) -> tuple[list[bytes], np.ndarray,
         total = bucket_counts([wb.unpack_words(x) for x in f.words], [wb.unpack(x) for x in f["at"]])
         seen = [(w, c) for w, c in total.items() if c]
         shapes, counts = np.array([shape(w) for w, _ in seen], int), np.array([c for _, c in seen], np.int64)
-        tokens, distinct = np.zeros(_SHAPES, np.int64), np.bincount(shapes, minlength=_SHAPES)
-        np.add.at(tokens, shapes, counts)
-        top = sorted(seen, key=lambda x: (-x[1], x[0]))[:frequent]
-        rows = [(w, -1, c, 1) for w, c in top] + [(b"", s, int(tokens[s]), int(distinct[s])) for s in range(_SHAPES) if distinct[s]]
-        return pd.DataFrame(rows, columns=["word", "shape", "n", "distinct"])
-
-    found = cut(counted.groupBy("bucket").applyInPandas(of_bucket, "word binary, shape int, n long, distinct long"), "lm-words")
-    top = found.where("shape < 0").orderBy(F.desc("n"), "word").limit(frequent).collect()
-    shapes = found.where("shape >= 0").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("distinct").alias("d")).collect()
-    words, counts = [bytes(r.word) for r in top], np.array([r.n for r in top], np.int64)
-    by_shape = np.zeros((_SHAPES, 2), np.int64)
-    for r in shapes:
-        by_shape[r["shape"]] = r.n, r.d
-    return words, counts, by_shape
+        by_shape = np.zeros((_SHAPES, 2), np.int64)
+        np.add.at(by_shape[:, 0], shapes, counts)
+        by_shape[:, 1] = np.bincount(shapes, minlength=_SHAPES)
+        return _summary(f.bucket.iloc[0], heapq.nsmallest(frequent, seen, key=lambda x: (-x[1], x[0])), by_shape)
+
+    def merged(f: pd.DataFrame) -> pd.DataFrame:
+        seen = [x for w, n in zip(f.words, f.counts, strict=True) for x in zip(wb.unpack_words(w), np.frombuffer(n, np.int64).tolist(), strict=True)]
+        by_shape = sum(np.frombuffer(x, np.int64).reshape(_SHAPES, 2) for x in f.shapes)
+        return _summary(f.bucket.iloc[0], heapq.nsmallest(frequent, seen, key=lambda x: (-x[1], x[0])), by_shape)
+
+    # one packed row for each bucket; they meet in a tree, so that the driver sees one
+    kind = "bucket int, words binary, counts binary, shapes binary"
+    found = counted.groupBy("bucket").applyInPandas(of_bucket, kind)
+    width = max(2, int(wb.buckets_of(docs.sparkSession) ** 0.5))
+    for step in (width, 1):
+        found = found.withColumn("bucket", F.pmod("bucket", F.lit(step)).cast("int")).groupBy("bucket").applyInPandas(merged, kind)
+    rows = found.collect()
+    if not rows:
+        return [], np.empty(0, np.int64), np.zeros((_SHAPES, 2), np.int64)
+    return wb.unpack_words(rows[0].words), np.frombuffer(rows[0].counts, np.int64), np.frombuffer(rows[0].shapes, np.int64).reshape(_SHAPES, 2)
+
+
+def _summary(bucket, top, by_shape) -> pd.DataFrame:
+    counts = np.array([c for _, c in top], np.int64)
+    return pd.DataFrame({"bucket": [bucket], "words": [wb.pack_words([w for w, _ in top])], "counts": [counts.tobytes()], "shapes": [by_shape.astype(np.int64).tobytes()]})
 
 
 def bucket_counts(words, at) -> dict[bytes, int]:

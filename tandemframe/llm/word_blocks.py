@@ -146,15 +146,17 @@ def entries(docs: DataFrame, tokenize: Tokenize, buckets: int, counted: Callable
 
     def made(frames):
         for block, rows in _blocks(frames):
-            words, seen = Dictionary(), np.zeros(1 << 16, np.int64)
+            words, held, sums = Dictionary(), [], []
             for doc_id, text in zip(rows.doc_id, rows.text, strict=True):
                 got = [words[w] for w in tokenize(text)]
-                if counted is not None and got and counted(doc_id):
-                    c = np.bincount(got)
-                    if len(c) > len(seen):
-                        seen = np.concatenate([seen, np.zeros(max(len(c), len(seen)), np.int64)])
-                    seen[: len(c)] += c
-            seen = np.concatenate([seen, np.zeros(max(0, len(words) - len(seen)), np.int64)])
+                if counted is not None and counted(doc_id):
+                    held += got
+                    if len(held) >= STREAM_WORDS:  # a count costs as much as the dictionary is long
+                        sums.append(np.bincount(held))
+                        held = []
+            seen = np.zeros(len(words), np.int64)
+            for c in [*sums, np.bincount(np.array(held, np.int64), minlength=1)] if len(words) else []:
+                seen[: len(c)] += c
             split: list[list] = [[] for _ in range(buckets)]
             for w in words:
                 raw = w if isinstance(w, bytes) else w.encode()
