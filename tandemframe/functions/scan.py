@@ -29,11 +29,16 @@ def find_runs(seq: str, motifs: list[str]) -> list[tuple[int, str, int, int]]:
     return out
 
 
-@F.pandas_udf(RUN)
-def mixed_runs(seq: pd.Series, motif: pd.Series) -> pd.Series:
-    """Runs for motifs of any lengths."""
-    rows = [[dict(zip(("start", "motif", "copies", "bp"), r, strict=True)) for r in find_runs(s or "", [m for m in (ms or "").split(",") if m])] for s, ms in zip(seq, motif, strict=True)]
-    return pd.Series(rows, dtype=object)
+def mixed_runs():
+    """The function (sequence, motifs) -> runs, for motifs of any lengths. Like
+    every Python function here it is made on call: it needs a session."""
+
+    @F.pandas_udf(RUN)
+    def runs(seq: pd.Series, motif: pd.Series) -> pd.Series:
+        rows = [[dict(zip(("start", "motif", "copies", "bp"), r, strict=True)) for r in find_runs(s or "", [m for m in (ms or "").split(",") if m])] for s, ms in zip(seq, motif, strict=True)]
+        return pd.Series(rows, dtype=object)
+
+    return runs
 
 
 def infix(anchor: str, target: str) -> tuple[int, int, int]:
@@ -72,15 +77,20 @@ def between_anchors(seq: str, left: str, right: str) -> tuple[str | None, str]:
     return seq[a[2] : b[1]], "ok"
 
 
-@F.pandas_udf("range_seq string, range_status string")
-def reporting_range(seq: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    known: dict = {}
-    rows = []
-    for key in zip(seq, left, right, strict=True):
-        if key not in known:
-            known[key] = between_anchors(*(x or "" for x in key))
-        rows.append(known[key])
-    return pd.DataFrame(rows, columns=["range_seq", "range_status"])
+def reporting_range():
+    """The function (sequence, left anchor, right anchor) -> (range_seq, range_status)."""
+
+    @F.pandas_udf("range_seq string, range_status string")
+    def ranged(seq: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        known: dict = {}
+        rows = []
+        for key in zip(seq, left, right, strict=True):
+            if key not in known:
+                known[key] = between_anchors(*(x or "" for x in key))
+            rows.append(known[key])
+        return pd.DataFrame(rows, columns=["range_seq", "range_status"])
+
+    return ranged
 
 
 def locate_window(cigar: list[tuple[int, int]], ref_start: int, start: int, end: int) -> tuple[int, int] | None:
