@@ -17,7 +17,7 @@ from ..params import RunParameters, StutterModel
 LOCUS = ("sample_id", "marker")
 PANEL_COLUMNS = (
     "marker_ord", "chromosome", "ref_start", "ref_end", "motif", "period", "corr_value", "category", "reference_ce", "allele_bp_step",
-    "kit_nomenclature_note", "allow_triallelic", "tri_balanced_thr", "min_reads_third", "stutter_overrides", F.col("strand").alias("marker_strand"),
+    "kit_nomenclature_note", "allow_triallelic", "tri_balanced_thr", "min_reads_third", "stutter_overrides",
 )
 
 
@@ -32,7 +32,7 @@ def named(clusters: DataFrame, panel: DataFrame, ranges: DataFrame | None = None
     bracket count or an offset stands in, in that order. ``ranges`` adds the
     reporting range between its anchors.
     """
-    rows = clusters.join(F.broadcast(panel.select(F.col("name").alias("marker"), *PANEL_COLUMNS)), "marker")
+    rows = clusters.join(F.broadcast(panel.select(F.col("name").alias("marker"), F.col("strand").alias("marker_strand"), *PANEL_COLUMNS)), "marker")
     bp = F.length("consensus")
     anchor = F.col("ref_end") - F.col("ref_start") + 1
     rows = rows.withColumns({
