@@ -100,7 +100,8 @@ def exchange(pairs: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarra
             m[k] -= r
             m[:, k] -= q
             m[k, k] -= own
-            left, right, fm = m.sum(1), m.sum(0), f(m)
+            # other classes' bigrams with w count in their sums wherever w is
+            left, right, fm = m.sum(1) + q, m.sum(0) + r, f(m)
             grown_row, grown_col = f(m + r) - fm, f(m + q[:, None]) - fm
             d = np.diag(m)
             gain = grown_row.sum(1) - np.diag(grown_row) + grown_col.sum(0) - np.diag(grown_col) + f(d + r + q + own) - f(d)
