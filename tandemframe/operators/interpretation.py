@@ -78,15 +78,10 @@ def _variant(run: Column, seq: Column, delta: int) -> Column:
     return F.when(copies >= 1, changed)
 
 
-def virtual_stutters(rows: DataFrame) -> DataFrame:
-    """A row for each product that slippage of a row's longest or second longest
-    run may give: variant, step, origin (LUS or SLUS), run_copies.
+def _products() -> Column:
+    """array<struct<variant, step, origin, run_copies>> of a row's consensus."""
 
-    Runs are looked for in the consensus as it lies, not turned to the marker's strand.
-    """
-    found = S.longest_runs(S.runs(F.col("consensus"), F.col("motif")))
-
-    def products(sorted_runs: Column) -> Column:
+    def of_runs(sorted_runs: Column) -> Column:
         parts = []
         for k, origin in ((0, "LUS"), (1, "SLUS")):
             run = F.get(sorted_runs, F.lit(k))
@@ -96,7 +91,35 @@ def virtual_stutters(rows: DataFrame) -> DataFrame:
                 parts.append(F.when(ok, F.struct(v.alias("variant"), F.lit(delta).alias("step"), F.lit(origin).alias("origin"), run["copies"].alias("run_copies"))))
         return F.filter(F.array(*parts), lambda x: x.isNotNull())
 
-    return rows.where(F.coalesce(F.col("motif"), F.lit("")) != "").withColumn("_v", F.explode(S.let(found, products))).select("*", "_v.*").drop("_v")
+    return S.let(S.longest_runs(S.runs(F.col("consensus"), F.col("motif"))), of_runs)
+
+
+def virtual_stutters(rows: DataFrame) -> DataFrame:
+    """A row for each product that slippage of a row's longest or second longest
+    run may give: variant, step, origin (LUS or SLUS), run_copies.
+
+    Runs are looked for in the consensus as it lies, not turned to the marker's strand.
+    """
+    return rows.where(F.coalesce(F.col("motif"), F.lit("")) != "").withColumn("_v", F.explode(_products())).select("*", "_v.*").drop("_v")
+
+
+def _slips(rows: DataFrame, model: StutterModel, parent_fraction: float) -> Column:
+    """array<struct<variant, e>>: expected reads on each product of a strong candidate; else empty."""
+    over = lambda k: F.element_at("stutter_overrides", F.lit(k)) if "stutter_overrides" in rows.columns else F.lit(None).cast("double")
+
+    def weighted(v: Column) -> Column:
+        factor = F.lit(0.0)
+        for k, x in model.step_factors.items():
+            factor = F.when(v["step"] == k, F.coalesce(over(f"step_{k}"), F.lit(float(x)))).otherwise(factor)
+        clamped = F.least(F.greatest(v["run_copies"], F.lit(model.lus_min)), F.lit(model.lus_max))
+        fitted = F.exp(F.coalesce(over("log_intercept"), F.lit(model.log_intercept)) + F.coalesce(over("log_slope"), F.lit(model.log_slope)) * clamped) * factor
+        rate = F.when(over("lus").isNotNull(), F.pow(over("lus"), F.abs(v["step"])) * factor).otherwise(fitted)
+        rate = rate * F.when(v["origin"] == "SLUS", F.coalesce(over("slus_factor"), F.lit(model.slus_factor))).otherwise(F.lit(1.0))
+        return F.struct(v["variant"].alias("variant"), (rate * F.col("n_reads")).alias("e"))
+
+    made = F.filter(F.transform(_products(), weighted), lambda x: x["e"] > 0)
+    strong = (F.col("fraction") >= parent_fraction) & ~F.col("is_deletion") & (F.coalesce(F.col("motif"), F.lit("")) != "")
+    return F.when(strong, made).otherwise(F.array().cast("array<struct<variant:string,e:double>>"))
 
 
 def expected_stutter(rows: DataFrame, model: StutterModel = StutterModel(), parent_fraction: float = P.PARENT_FRACTION) -> DataFrame:
@@ -106,22 +129,17 @@ def expected_stutter(rows: DataFrame, model: StutterModel = StutterModel(), pare
     A marker's overrides replace the curve (log_intercept, log_slope), a step's
     factor (step_-1, ...), the SLUS factor, or all by a flat rate (lus).
     """
-    parents = rows.where((F.col("fraction") >= parent_fraction) & ~F.col("is_deletion"))
-    over = lambda k: F.element_at("stutter_overrides", F.lit(k)) if "stutter_overrides" in rows.columns else F.lit(None).cast("double")
-    slips = virtual_stutters(parents)
-    factor = F.lit(0.0)
-    for k, v in model.step_factors.items():
-        factor = F.when(F.col("step") == k, F.coalesce(over(f"step_{k}"), F.lit(float(v)))).otherwise(factor)
-    clamped = F.least(F.greatest(F.col("run_copies"), F.lit(model.lus_min)), F.lit(model.lus_max))
-    fitted = F.exp(F.coalesce(over("log_intercept"), F.lit(model.log_intercept)) + F.coalesce(over("log_slope"), F.lit(model.log_slope)) * clamped) * factor
-    rate = F.when(over("lus").isNotNull(), F.pow(over("lus"), F.abs(F.col("step"))) * factor).otherwise(fitted)
-    rate = rate * F.when(F.col("origin") == "SLUS", F.coalesce(over("slus_factor"), F.lit(model.slus_factor))).otherwise(F.lit(1.0))
-    return slips.withColumn("e", rate * F.col("n_reads")).where("e > 0").groupBy(*LOCUS, "variant").agg(F.sum("e").alias("expected"))
+    slips = rows.select(*LOCUS, F.explode(_slips(rows, model, parent_fraction)).alias("s"))
+    return slips.groupBy(*LOCUS, F.col("s.variant").alias("variant")).agg(F.sum("s.e").alias("expected"))
 
 
-def with_stutter(rows: DataFrame, model: StutterModel = StutterModel()) -> DataFrame:
-    expected = expected_stutter(rows, model).withColumnRenamed("variant", "consensus").withColumnRenamed("expected", "expected_stutter")
-    return rows.join(expected, [*LOCUS, "consensus"], "left").withColumn("expected_stutter", F.coalesce("expected_stutter", F.lit(0.0)))
+def with_stutter(rows: DataFrame, model: StutterModel = StutterModel(), parent_fraction: float = P.PARENT_FRACTION) -> DataFrame:
+    """rows with expected_stutter of their own sequence. A locus has some dozen
+    products, so they are gathered over its window; nothing is dealt anew."""
+    rows = rows.withColumn("_s", _slips(rows, model, parent_fraction))
+    rows = rows.withColumn("_all", F.flatten(F.collect_list("_s").over(locus())))
+    own = F.aggregate(F.filter("_all", lambda x: x["variant"] == F.col("consensus")), F.lit(0.0), lambda a, x: a + x["e"])
+    return rows.withColumn("expected_stutter", own).drop("_s", "_all")
 
 
 def status(params: RunParameters) -> Column:
@@ -165,14 +183,14 @@ def opposite(a: Column, b: Column) -> Column:
     return F.coalesce(a["ps"].eqNullSafe(b["ps"]) & (a["hp"] != b["hp"]), F.lit(False))
 
 
-def genotypes(rows: DataFrame, params: RunParameters) -> DataFrame:
-    """One row for each locus: call_rule, tri_type, called (cluster indexes, strongest first), rescued."""
+def _candidate() -> Column:
+    """What a locus's call is made from, of a candidate row; NULL of others."""
     candidate = F.col("status").isin("allele", "inexact_allele") & ~F.col("is_deletion")
-    item = F.struct((-F.col("n_reads")).alias("r"), F.col("cluster_index").alias("i"), F.col("n_reads").alias("n"), F.col("dominant_hp").alias("hp"), F.col("phase_set").alias("ps"))
-    loci = rows.groupBy(*LOCUS).agg(
-        F.array_sort(F.collect_list(F.when(candidate, item))).alias("c"), F.sum("n_reads").alias("total_reads"), F.first("allow_triallelic").alias("tri"),
-        F.first("tri_balanced_thr").alias("thr"), F.first("min_reads_third").alias("floor"), F.first("marker_ord").alias("marker_ord"),
-    )
+    return F.when(candidate, F.struct((-F.col("n_reads")).alias("r"), F.col("cluster_index").alias("i"), F.col("n_reads").alias("n"), F.col("dominant_hp").alias("hp"), F.col("phase_set").alias("ps")))
+
+
+def _decided(rows: DataFrame, params: RunParameters) -> DataFrame:
+    """From c (candidates, strongest first), tri, thr and floor: call_rule, tri_type, called, rescued."""
     a1, a2, a3 = (F.get("c", F.lit(k)) for k in range(3))
     n = F.size("c")
     third_floor = F.lit(params["min_reads_third"]) if not params.is_default("min_reads_third") else F.coalesce("floor", F.lit(params["min_reads_third"]))
@@ -185,22 +203,31 @@ def genotypes(rows: DataFrame, params: RunParameters) -> DataFrame:
         .when(~F.col("tri"), "two_called_three_present_review").when((r12 >= t) & (r23 >= t), "triallelic_type_II").when((r12 >= t) & (r23 >= P.TRI_LOW), "triallelic_type_I")
         .otherwise("triallelic_review")
     )
-    loci = loci.withColumn("rule", rule).withColumn("rescued", (n >= 2) & low & opposite(a1, a2) & (F.col("rule") != "homozygous"))
-    count = F.when(F.col("rule") == "no_data", 0).when(F.col("rule") == "homozygous", 1).when(F.col("rule").startswith("triallelic"), 3).otherwise(2)
-    return loci.select(
-        *LOCUS, "marker_ord", F.col("total_reads").cast("long").alias("total_reads"),
-        F.col("rule").alias("call_rule"),
-        F.when(F.col("rule").endswith("review"), "mixture_suspected").when(F.col("rule") == "triallelic_type_II", "tri_II_balanced").when(F.col("rule") == "triallelic_type_I", "tri_I_unbalanced").otherwise("").alias("tri_type"),
-        F.transform(F.slice("c", F.lit(1), count), lambda x: x["i"]).alias("called"),
-        F.when(F.col("rescued"), F.get("c", F.lit(1))["i"]).alias("rescued"),
+    rows = rows.withColumn("call_rule", rule)
+    count = F.when(F.col("call_rule") == "no_data", 0).when(F.col("call_rule") == "homozygous", 1).when(F.col("call_rule").startswith("triallelic"), 3).otherwise(2)
+    rescued = (n >= 2) & low & opposite(a1, a2) & (F.col("call_rule") != "homozygous")
+    return rows.withColumns({
+        "tri_type": F.when(F.col("call_rule").endswith("review"), "mixture_suspected").when(F.col("call_rule") == "triallelic_type_II", "tri_II_balanced").when(F.col("call_rule") == "triallelic_type_I", "tri_I_unbalanced").otherwise(""),
+        "called": F.transform(F.slice("c", F.lit(1), count), lambda x: x["i"]), "rescued": F.when(rescued, a2["i"]),
+    }).drop("c", "tri", "thr", "floor")
+
+
+def genotypes(rows: DataFrame, params: RunParameters) -> DataFrame:
+    """One row for each locus: call_rule, tri_type, called (cluster indexes, strongest first), rescued."""
+    loci = rows.groupBy(*LOCUS).agg(
+        F.array_sort(F.collect_list(_candidate())).alias("c"), F.sum("n_reads").cast("long").alias("total_reads"), F.first("allow_triallelic").alias("tri"),
+        F.first("tri_balanced_thr").alias("thr"), F.first("min_reads_third").alias("floor"), F.first("marker_ord").alias("marker_ord"),
     )
+    return _decided(loci, params)
 
 
-def called_alleles(rows: DataFrame, calls: DataFrame) -> DataFrame:
-    """Candidates with called, allele_index (from 1; 0 if not called), hp_rescued and the locus's call."""
-    joined = rows.drop("total_reads", "marker_ord").join(calls, list(LOCUS))
+def called_alleles(rows: DataFrame, params: RunParameters) -> DataFrame:
+    """Candidates with their locus's call and is_called, allele_index (from 1; 0 if
+    not called), hp_rescued; over the locus's window, as a join would deal all anew."""
+    gathered = rows.withColumns({"c": F.array_sort(F.collect_list(_candidate()).over(locus())), "tri": F.col("allow_triallelic"), "thr": F.col("tri_balanced_thr"), "floor": F.col("min_reads_third")})
+    decided = _decided(gathered, params)
     at = F.array_position("called", F.col("cluster_index"))
-    return joined.withColumns({
+    return decided.withColumns({
         "is_called": at > 0, "allele_index": at.cast("int"),
         "hp_rescued": F.coalesce(F.col("rescued") == F.col("cluster_index"), F.lit(False)),
     })

@@ -30,7 +30,7 @@ def interpret(clusters: DataFrame, panel: DataFrame, params: RunParameters = Run
     rows = I.with_fraction(I.named(clusters, panel, ranges))
     rows = I.with_stutter(rows, model).withColumn("status", I.status(params))
     rows = I.annotated(I.suppress_phantoms(rows), catalog)
-    return I.called_alleles(rows, I.genotypes(rows, params))
+    return I.called_alleles(rows, params)
 
 
 def all_loci(loci: DataFrame, samples: DataFrame, panel: DataFrame) -> DataFrame:

@@ -327,7 +327,7 @@ locus AS (SELECT c.sample_id, c.marker, c.marker_ord, any_value(c.call_rule) AS
   count(*) FILTER (is_called) AS n_called, max(n_reads) FILTER (is_called) AS mx, sum(n_reads) FILTER (is_called) AS sm, bool_or(rescued AND is_called) AS resc, bool_or(status = 'hp_phantom') AS phan, bool_or(n_phase_sets > 1) AS split,
   bool_or(is_called AND n_reads > 1) AS moded, count(DISTINCT CASE WHEN is_called THEN label END) < count(DISTINCT CASE WHEN is_called THEN concat(label, consensus) END) AS iso,
   bool_or(is_called AND n_forward + n_reverse >= 10 AND p < 0.01) AS biased FROM called c JOIN pv USING (sample_id, marker, cluster_index) GROUP BY ALL),
-ab AS (SELECT *, CASE WHEN n_called = 2 THEN round(mx / sm, 3) END AS balance FROM locus),
+ab AS (SELECT *, CASE WHEN n_called = 2 THEN round_even(mx / sm, 3) END AS balance FROM locus),
 flagset AS (SELECT *, list_filter([CASE WHEN call_rule LIKE '%review' THEN 'mixture_suspected' END, CASE WHEN call_rule LIKE 'triallelic_type%' THEN 'triallelic' END, CASE WHEN iso THEN 'isoallele' END, CASE WHEN phan THEN 'hp_phantom_collapsed' END,
   CASE WHEN split THEN 'phase_block_split' END, CASE WHEN resc THEN 'hp_rescued_het' END, CASE WHEN moded THEN 'consensus_fallback' END, CASE WHEN call_rule = 'no_data' THEN 'dropout' END, CASE WHEN call_rule <> 'no_data' AND called_reads < 20 THEN 'low_coverage' END,
   CASE WHEN biased THEN 'strand_bias' END, CASE WHEN balance > 0.65 AND NOT resc THEN 'allele_imbalance' END, CASE WHEN marker = 'M4' AND n_called > 0 THEN 'ce_nomenclature_offset' END], lambda x: x IS NOT NULL) AS flags FROM ab)
@@ -403,7 +403,7 @@ ORACLE = {
     "q_stutter_fit": _OBS + """, b AS (SELECT lus, count(*) AS n, CAST(sum(parent_reads) AS DOUBLE) AS w, sum(stutter_reads) / sum(parent_reads) AS ratio FROM so WHERE step = -1 GROUP BY lus), p AS (SELECT *, ln(ratio) AS y FROM b WHERE n >= 7 AND ratio > 0),
       m AS (SELECT sum(w*lus)/sum(w) AS mx, sum(w*y)/sum(w) AS my FROM p), f AS (SELECT count(*) AS bins, min(lus) AS lus_min, max(lus) AS lus_max, sum(w*(lus-mx)*(y-my))/nullif(sum(w*(lus-mx)*(lus-mx)), 0) AS slope, any_value(mx) AS mx, any_value(my) AS my FROM p, m),
       r AS (SELECT sum(stutter_reads) FILTER (step = -1) / sum(parent_reads) FILTER (step = -1) AS r1, sum(stutter_reads) FILTER (step = 1) / sum(parent_reads) FILTER (step = 1) AS r2, count(*) FILTER (step = -1) AS n, count(DISTINCT concat(sample_id, marker)) FILTER (step = -1) AS nl FROM so)
-      SELECT bins, lus_min, lus_max, round(round(my - slope*mx, 4), 3) AS log_intercept, round(round(slope, 4), 3) AS log_slope, 1.0 AS f_minus1, round(round(r2 / r1, 3), 2) AS f_plus1, n AS n_observations, nl AS n_loci FROM f, r""",
+      SELECT bins, lus_min, lus_max, round(round(my - slope*mx, 4), 3) AS log_intercept, round(round(slope, 4), 3) AS log_slope, CAST(1.0 AS DOUBLE) AS f_minus1, round(round(r2 / r1, 3), 2) AS f_plus1, n AS n_observations, nl AS n_loci FROM f, r""",
     "q_forward_fill": "SELECT n_nationkey, first_value(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS header FROM nation",
     "q_canonical_genotype": """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN concat(p_size, '/', p_size) WHEN p_partkey % 5 = 0 THEN concat(p_size, '/X')
       ELSE concat(least(p_size, p_partkey % 13), '/', greatest(p_size, p_partkey % 13)) END AS genotype FROM part""",
