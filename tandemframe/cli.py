@@ -195,6 +195,29 @@ def calibrate_stutter(spark, args) -> int:
     return 0
 
 
+def calibrate_panel(spark, args) -> int:
+    """Repeats that a bracket count has to leave out, by the reference."""
+    contigs = spark.createDataFrame(list(fasta(args.reference).items()), "name string, seq string")
+    for r in C.calibrated_panel(_panel(spark, args.panel), contigs).orderBy("marker_ord").collect():
+        print(f"{r.name}\t{r.corr_value}\t{r.core_units}\t{r.raw_ce}\t{r.ref_isfg}")
+    return 0
+
+
+def cohort(spark, args) -> int:
+    """Chosen alignment of each wanted sample of a listing, a manifest and windows to fetch."""
+    listing = spark.read.text(args.listing).select(F.col("value").alias("path")).where("path <> ''")
+    wanted = spark.read.text(args.samples).select(C.canonical_sample_id(F.col("value")).alias("sample_id")).where("sample_id <> ''")
+    chosen, missing = C.select_cohort(listing, wanted)
+    out = exports.ensure_folder(args.out)
+    with open(f"{out}/manifest.tsv", "w", encoding="utf-8") as f:
+        f.write("sample_id\tbam\n" + "".join(f"{r.sample_id}\t{r.path}\n" for r in chosen.orderBy("sample_id").toLocalIterator()))
+    with open(f"{out}/slices.bed", "w", encoding="utf-8") as f:
+        f.write("".join(f"{r.chrom}\t{r.start}\t{r.end}\t{r.name}\n" for r in exports.slice_bed(_panel(spark, args.panel)).orderBy("marker_ord", "name").toLocalIterator()))
+    for r in missing.orderBy("sample_id").collect():
+        print(f"missing\t{r.sample_id}")
+    return 0
+
+
 def compare(spark, args) -> int:
     summary = spark.read.option("header", True).csv(args.summary).where("status = 'ok'")
     markers = [c for c in summary.columns if c not in ("sample_id", "role", "status", "error")]
@@ -215,7 +238,7 @@ def parser() -> argparse.ArgumentParser:
         c = commands.add_parser(name)
         c.set_defaults(run=run)
         for p in positional:
-            c.add_argument(p, nargs="+" if p.endswith("s") else None)
+            c.add_argument(p, nargs="+" if p in ("bams", "runs") else None)
         return c
 
     def inputs(c, one: bool = True):
@@ -252,6 +275,12 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--panel")
     c = inputs(command("calibrate-stutter", calibrate_stutter, "bams"), one=False)
     c.add_argument("--out", required=True)
+    c = command("calibrate-panel", calibrate_panel)
+    c.add_argument("--panel", required=True)
+    c.add_argument("--reference", required=True)
+    c = command("cohort", cohort)
+    for name in ("listing", "samples", "panel", "out"):
+        c.add_argument(f"--{name}", required=True)
     c = command("compare", compare, "summary", "truth")
     c.add_argument("--technology", default="ILLUMINA")
     c.add_argument("--show", type=int, default=20)

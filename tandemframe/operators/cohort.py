@@ -240,3 +240,45 @@ def select_cohort(listing: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Dat
     ok = p.contains("-r10") & p.contains("dorado") & ~p.contains("-r9") & ~p.contains("guppy")
     by = listing.where(ok).select(F.element_at(F.split(name, "-(?i)ont"), 1).alias("sample_id"), "path").groupBy("sample_id").agg(F.max("path").alias("path"))
     return wanted.join(by, "sample_id"), wanted.join(by, "sample_id", "left_anti")
+
+
+# reference calibration of panels
+
+_TOKEN = r"\[[A-Z]+\]\d+|[A-Z]{2,}"
+
+
+def core_and_flanking(notation: Column, gap: int = P.GAP) -> Column:
+    """struct<core, flanking>: repeats in the richest group of motif tokens, and
+    outside it. Tokens up to ``gap`` characters of the notation apart are one group."""
+
+    def grouped(tokens: Column, gaps: Column) -> Column:
+        zero = F.lit(0)
+        start = F.struct(zero.alias("best"), zero.alias("now"), zero.alias("total"))
+
+        def step(s, i):
+            token = F.get(tokens, i)
+            n = F.coalesce(F.regexp_extract(token, r"\](\d+)", 1).try_cast("int"), F.lit(1))
+            now = F.when((i > 0) & (F.length(F.get(gaps, i)) <= gap), s["now"] + n).otherwise(n)
+            return F.struct(F.greatest(s["best"], now).alias("best"), now.alias("now"), (s["total"] + n).alias("total"))
+
+        indexes = F.filter(F.sequence(zero, F.size(tokens)), lambda i: i < F.size(tokens))
+        return F.aggregate(indexes, start, step, lambda s: F.struct(s["best"].alias("core"), (s["total"] - s["best"]).alias("flanking")))
+
+    return S.let(F.regexp_extract_all(notation, F.lit(_TOKEN), 0), lambda t: S.let(F.split(notation, _TOKEN), lambda g: grouped(t, g)))
+
+
+def calibrated_panel(panel: DataFrame, contigs: DataFrame) -> DataFrame:
+    """For markers counted by brackets: the repeats of the reference window outside
+    its core, which a count has to leave out. ``contigs`` has name and seq."""
+    rows = panel.where("period = -1 and marker_type = 'str'").join(contigs.select(F.col("name").alias("chromosome"), "seq"), "chromosome")
+    window = F.upper(F.substring("seq", F.col("ref_start"), F.col("ref_end") - F.col("ref_start") + 1))
+    rows = rows.withColumn("ref_isfg", S.brackets(window, F.col("motif"), F.col("strand")))
+    rows = rows.withColumn("_c", core_and_flanking(F.col("ref_isfg")))
+    return rows.select("marker_ord", "name", "period", (F.col("ref_end") - F.col("ref_start") + 1).alias("window_bp"), F.col("_c.flanking").alias("corr_value"), "ref_isfg", S.ce_from_brackets(F.col("ref_isfg")).alias("raw_ce"), F.col("_c.core").alias("core_units"), F.col("_c.flanking").alias("flanking_units"))
+
+
+def sequence_panel(alleles: DataFrame) -> DataFrame:
+    """The stacked sequences of each locus as nested rows, one record a locus."""
+    rows = sequence_rows(alleles)
+    entry = F.struct("repeat_group", "stack_index", (~F.col("canonical")).alias("allele_iso"), "iso_ordinal", F.col("n_reads").alias("coverage_reads"), F.round(F.col("fraction") * 100, 2).alias("coverage_fraction"), F.col("isfg").alias("repeat_sequence"), F.col("consensus").alias("full_sequence"))
+    return rows.groupBy(*LOCUS).agg(F.array_sort(F.collect_list(entry)).alias("rows"))
