@@ -41,6 +41,7 @@ ASIDE_WORDS = frozenset(
     "social related recommended popup modal overlay widget login search toolbar pagination pager copyright masthead topbar".split()
 )
 MAIN_WORDS = frozenset("article content main post entry story maincontent articlebody postcontent".split())
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre td th dt dd".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.S,
@@ -270,7 +271,8 @@ def labels(wrapper: Node) -> list[bool]:
     narrowest kind of region that the wrapper has do (article, main, named
     content, any). Where no region is marked, slots that are mostly links
     don't. A slot whose text never varied over several pages is the template's
-    own, unless no slot varies.
+    own, unless no slot varies, or it is a heading, paragraph or the like of an
+    article or main: pages of one title, or copies, keep their text.
     """
     found = slots(wrapper)
     keep = [not _is_aside(path) for _, path in found]
@@ -279,7 +281,8 @@ def labels(wrapper: Node) -> list[bool]:
     if top < 2:
         keep = [k and 2 * s.links <= s.chars for (s, _), k in zip(found, keep, strict=True)]
     if any(k and s.low != s.high for (s, _), k in zip(found, keep, strict=True)):
-        keep = [k and (s.low != s.high or s.n < FIXED_AFTER) for (s, _), k in zip(found, keep, strict=True)]
+        own = [top >= 2 and path[-1].split(".")[0] in TEXT_TAGS for _, path in found]
+        keep = [k and (s.low != s.high or s.n < FIXED_AFTER or o) for (s, _), k, o in zip(found, keep, own, strict=True)]
     return keep
 
 
