@@ -25,12 +25,14 @@ def locus() -> Window:
     return Window.partitionBy(*LOCUS)
 
 
-def named(clusters: DataFrame, panel: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+def named(clusters: DataFrame, panel: DataFrame, ranges: DataFrame | None = None, namer=None) -> DataFrame:
     """Clusters as allele candidates with notation, number and label.
 
     Without a naming tool the status says so and the calibrated number, the
     bracket count or an offset stands in, in that order. ``ranges`` adds the
-    reporting range between its anchors.
+    reporting range between its anchors; ``namer(sequence, marker)``, Columns in
+    and out, names it: a name that begins with CE<number>_ gives the number. On
+    the minus strand the range is turned first.
     """
     rows = clusters.join(F.broadcast(panel.select(F.col("name").alias("marker"), F.col("strand").alias("marker_strand"), *PANEL_COLUMNS)), "marker")
     bp = F.length("consensus")
@@ -46,12 +48,16 @@ def named(clusters: DataFrame, panel: DataFrame, ranges: DataFrame | None = None
     if ranges is not None:
         from ..functions.scan import reporting_range
 
-        anchors = ranges.select(F.col("name").alias("marker"), "left_anchor", "right_anchor")
+        anchors = ranges.select(F.col("name").alias("marker"), "left_anchor", "right_anchor", "minus")
         rows = rows.join(F.broadcast(anchors), "marker", "left").withColumn("_r", reporting_range()("consensus", "left_anchor", "right_anchor"))
-        rows = rows.withColumns({"range_seq": F.col("_r.range_seq"), "strnaming_status": F.when(F.col("left_anchor").isNull(), "no_range").when(F.col("_r.range_status") == "ok", "error").otherwise(F.col("_r.range_status"))}).drop("_r", "left_anchor", "right_anchor")
+        rows = rows.withColumns({"range_seq": F.col("_r.range_seq"), "strnaming_status": F.when(F.col("left_anchor").isNull(), "no_range").when(F.col("_r.range_status") == "ok", "error").otherwise(F.col("_r.range_status"))})
+        rows = rows.withColumn("range_seq", F.when(F.col("minus"), S.reverse_complement(F.col("range_seq"))).otherwise(F.col("range_seq"))).drop("_r", "left_anchor", "right_anchor", "minus")
     else:
         rows = rows.withColumn("strnaming_status", F.lit("unavailable"))
-    rows = rows.withColumns({"strnaming_ce": F.lit(None).cast("double"), "strnaming_name": F.lit("")})
+    name = F.coalesce(namer(F.col("range_seq"), F.col("marker")), F.lit("")) if namer is not None and ranges is not None else F.lit("")
+    rows = rows.withColumn("strnaming_name", name)
+    rows = rows.withColumn("strnaming_ce", F.regexp_extract("strnaming_name", r"^CE(-?\d+(?:\.\d+)?)_", 1).try_cast("double"))
+    rows = rows.withColumn("strnaming_status", F.when(F.col("strnaming_ce").isNotNull(), "ok").otherwise(F.col("strnaming_status")))
     return numbered(rows)
 
 

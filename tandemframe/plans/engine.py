@@ -24,10 +24,10 @@ class RunFrames:
     sex: DataFrame | None = None
 
 
-def interpret(clusters: DataFrame, panel: DataFrame, params: RunParameters = RunParameters(), model: StutterModel = StutterModel(), catalog: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
+def interpret(clusters: DataFrame, panel: DataFrame, params: RunParameters = RunParameters(), model: StutterModel = StutterModel(), catalog: DataFrame | None = None, ranges: DataFrame | None = None, namer=None) -> DataFrame:
     """Cluster rows with everything that is decided about them and their locus.
     Order: name, stutter, status, phantoms, catalog, call."""
-    rows = I.with_fraction(I.named(clusters, panel, ranges))
+    rows = I.with_fraction(I.named(clusters, panel, ranges, namer))
     rows = I.with_stutter(rows, model).withColumn("status", I.status(params))
     rows = I.annotated(I.suppress_phantoms(rows), catalog)
     return I.called_alleles(rows, params)
@@ -44,7 +44,7 @@ def all_loci(loci: DataFrame, samples: DataFrame, panel: DataFrame) -> DataFrame
     }).drop("_ord", "_cat", "_note")
 
 
-def run(reads: DataFrame, panel: DataFrame, params: RunParameters = RunParameters(), model: StutterModel = StutterModel(), catalog: DataFrame | None = None, ranges: DataFrame | None = None, backend=Backend, samples: DataFrame | None = None) -> RunFrames:
+def run(reads: DataFrame, panel: DataFrame, params: RunParameters = RunParameters(), model: StutterModel = StutterModel(), catalog: DataFrame | None = None, ranges: DataFrame | None = None, backend=Backend, samples: DataFrame | None = None, namer=None) -> RunFrames:
     """Nothing is computed until a table of the result is used.
 
     One sample failing to be read is the source's concern: it hands on what it
@@ -53,7 +53,7 @@ def run(reads: DataFrame, panel: DataFrame, params: RunParameters = RunParameter
     gate = E.gated(reads, panel, params)
     obs = E.observations(gate.join(F.broadcast(panel.where("marker_type <> 'amel'").select(F.col("name").alias("marker"))), "marker", "left_semi"))
     clusters = E.full_clusters(obs, panel, params, backend)
-    alleles = interpret(clusters, panel, params, model, catalog, ranges)
+    alleles = interpret(clusters, panel, params, model, catalog, ranges, namer)
     samples = reads.select("sample_id").distinct() if samples is None else samples
     loci = Q.flagged(all_loci(Q.locus_summary(alleles), samples, panel), params)
     return RunFrames(gate, obs, clusters, alleles, loci, I.sex_calls(gate, panel, samples))

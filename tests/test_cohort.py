@@ -48,3 +48,29 @@ def test_ranges_have_anchors(spark, tmp_path):
     (tmp_path / "r.tsv").write_text("name\tchromosome\tstart\tend\tref_ce\toptions\tslice_start\tslice_seq\n" + f"X\tchr1\t180\t141\t10\tlimit=3;keep=1\t101\t{left}{core}{right}\n")
     r = tables.load_ranges(spark, str(tmp_path / "r.tsv")).first()
     assert r.minus and r.left_anchor == "A" * 30 and r.right_anchor == "G" * 30 and r.options == "keep=1"
+
+
+def test_log_lines_are_json(tmp_path):
+    import json
+
+    from tandemframe import log
+
+    log.configure(str(tmp_path / "x.jsonl"))
+    with log.timed("scan", sample="A"):
+        pass
+    log.configure(str(tmp_path / "y.jsonl"))
+    line = json.loads((tmp_path / "x.jsonl").read_text())
+    assert line["stage"] == "scan" and line["sample"] == "A" and line["level"] == "INFO" and list(line) == sorted(line)
+
+
+def test_a_plugged_namer_wins(spark):
+    from tandemframe.operators import interpretation as I
+
+    panel = tables.checked_panel(spark, [{"name": "X", "chromosome": "chr1", "ref_start": 1, "ref_end": 88, "motif": "AGAT", "period": 4}])
+    left, right = "CTCTCTGGCATTCAGGACTTCAGGATCCAA", "GGCATACCGTTAAGGCCTTGACCGATTGCA"
+    ranges = spark.createDataFrame([("X", left, right, False)], "name string, left_anchor string, right_anchor string, minus boolean")
+    clusters = spark.createDataFrame([("S", "X", 0, left + "AGAT" * 7 + right, 9)], "sample_id string, marker string, cluster_index int, consensus string, n_reads int")
+    namer = lambda seq, marker: F.concat(F.lit("CE"), (F.length(seq) / 4).cast("int").cast("string"), F.lit("_"), seq)
+    got, plain = I.named(clusters, panel, ranges, namer).first(), I.named(clusters, panel, ranges).first()
+    assert (got.number, got.number_method, got.strnaming_status, got.repeat_label) == (7.0, "strnaming", "ok", "CE7_" + "AGAT" * 7)
+    assert (plain.number_method, plain.strnaming_status, plain.range_seq) == ("period_ce", "error", "AGAT" * 7)
