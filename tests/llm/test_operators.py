@@ -324,6 +324,37 @@ def test_classes_are_a_distribution_and_beat_the_base(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.2 * sum(r.n_tokens for r in held)
 
 
+def test_words_beyond_the_exchange_find_their_class(spark):
+    """Words that no exchange saw follow their neighbours, not their shape."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{'ab'[k % 2]}{'xyzuvw'[int(rng.integers(0, 6))]}" if rng.random() < 0.5 else f"qq{int(rng.integers(0, 60)) * 2 + k % 2:03d}" for k in range(60))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {least: [r for r in class_lm.class_lm(docs, frequent=12, classes=8, least=least).collect() if r.held_out] for least in (class_lm.LEAST, 10**9)}
+    per_token = {k: sum(r.score for r in v) / sum(r.n_tokens for r in v) for k, v in held.items()}
+    assert per_token[class_lm.LEAST] > per_token[10**9] + 0.1
+    model = class_lm.train(docs, frequent=12, classes=8)
+    assert np.allclose((10.0**model.log_next).sum(1), 1) and np.isclose(model.room.sum(), model.tokens + model.distinct + len(model.room))
+
+
+def test_placing_is_the_move_of_the_exchange():
+    rng = np.random.default_rng(1)
+    pairs = rng.integers(0, 30, (9, 9))
+    start = np.array([0, 1, 2, 0, 1, 2, 0, 1, 3])
+    one_hot = np.eye(4)[start]
+    m, f = one_hot.T @ pairs @ one_hot, class_lm.f
+
+    def likelihood(of):
+        h = np.eye(4)[of]
+        c = h.T @ pairs @ h
+        return f(c).sum() - f(c.sum(0)).sum() - f(c.sum(1)).sum()
+
+    w = np.arange(8)
+    got = class_lm.place(m, (pairs @ one_hot)[w], (pairs.T @ one_hot)[w], pairs[w, w], start[w])
+    for x in w:
+        tried = [likelihood(np.where(np.arange(9) == x, c, start)) for c in range(3)]
+        assert tried[got[x]] >= max(tried) - 1e-6
+
+
 # licences
 
 
