@@ -26,8 +26,6 @@ FACTORS = 4
 SAMPLE_PER_CLASS = 4000
 #: Terms of fewer sample texts than this are left out of the model.
 MIN_TEXTS = 5
-#: So are terms whose shares in the two classes differ by fewer standard errors.
-MIN_Z = 3.5
 FOLDS = 5
 
 
@@ -53,9 +51,14 @@ class Machine:
 
 def fit(
     rows: list[np.ndarray], labels: np.ndarray, dims: int = DIMS, factors: int = FACTORS, epochs: int = 8,
-    rate: float = 0.1, l1: float = 0.5, l2: float = 1e-4, min_texts: int = MIN_TEXTS, min_z: float = MIN_Z, seed: int = 7,
+    rate: float = 0.3, l1: float = 4.0, l2: float = 1e-4, min_texts: int = MIN_TEXTS, min_z: float = 0, seed: int = 7,
 ) -> Machine:
-    """FTRL-proximal for the weights, AdaGrad for the factors, text by text.
+    """FTRL-proximal for the weights, then AdaGrad for the factors, text by text,
+    ``epochs`` each: the factors learn what the weights leave.
+
+    Terms that are neutral alone keep their factors, as a pair of them may not be.
+    ``min_z`` leaves out terms whose shares in the classes differ by fewer
+    standard errors; none by default.
 
     Without both classes there is nothing to separate: the machine then is a
     constant, the smoothed share of label 1. The same rows in the same order
@@ -76,26 +79,31 @@ def fit(
     rng = np.random.default_rng(seed)
     v[used] = rng.normal(0, 0.01, (int(used.sum()), factors))
     z, g2, gv2, gb2 = np.zeros(dims), np.zeros(dims), np.zeros((dims, factors)), 1.0
-    for _ in range(epochs):
+    for epoch in range(2 * epochs):
+        pairs = epoch >= epochs
         for k in rng.permutation(n):
             r = rows[k]
-            vr = v[r].astype(float)
-            s = vr.sum(0)
-            raw = b + w[r].sum() + 0.5 * (s @ s - (vr * vr).sum())
+            raw = b + w[r].sum()
+            if pairs:
+                vr = v[r].astype(float)
+                s = vr.sum(0)
+                raw += 0.5 * (s @ s - (vr * vr).sum())
             g = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[k]
             gb2 += g * g
             b -= rate * g / np.sqrt(gb2)
             if not len(r) or abs(g) < 1e-3:
                 continue
+            if pairs:
+                gv = g * (s - vr) + 1e-3 * vr
+                gv2[r] += gv * gv
+                v[r] = vr - 0.02 * gv / (np.sqrt(gv2[r]) + 1)
+                continue
             g2r = g2[r]
             sigma = (np.sqrt(g2r + g * g) - np.sqrt(g2r)) / rate
             z[r] += g - sigma * w[r]
             g2[r] = g2r + g * g
             zr = z[r]
             w[r] = np.where(np.abs(zr) <= l1, 0, -(zr - np.sign(zr) * l1) / ((1 + np.sqrt(g2[r])) / rate + l2))
-            gv = g * (s - vr) + 1e-3 * vr
-            gv2[r] += gv * gv
-            v[r] = vr - 0.02 * gv / (np.sqrt(gv2[r]) + 1e-2)
     return Machine(float(b), w, v.astype(np.float32), dims)
 
 

@@ -220,6 +220,18 @@ def test_machine_learns_a_pair_that_weights_cannot():
     assert right > 0.9
 
 
+def test_queries_machine_learns_that_pair():
+    """As the query fits it: each term of the pair is neutral alone."""
+    rng = np.random.default_rng(0)
+    rows, labels = [], []
+    for _ in range(1500):
+        a, b = rng.integers(0, 2, 2)
+        rows.append(np.sort(np.array([2 if a else 3, 4 if b else 5, *rng.choice(np.arange(10, 40), 3, replace=False)], np.int32)))
+        labels.append(int(a == b))
+    m = toxicity.fit(rows[:1200], np.array(labels[:1200]), dims=64)
+    assert np.mean([(m.score(r) >= 0.5) == y for r, y in zip(rows[1200:], labels[1200:], strict=True)]) > 0.9
+
+
 def test_toxicity_on_held_out_rows(spark, edge, empty):
     rng = np.random.default_rng(1)
     rows, labels = [], []
