@@ -107,14 +107,19 @@ def fit(
     return Machine(float(b), w, v.astype(np.float32), dims)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, dims: int) -> tuple[list[np.ndarray], np.ndarray]:
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, dims: int) -> tuple[list[np.ndarray], np.ndarray, float]:
     """Term ids and labels of at most ``per_class`` labelled rows of each class,
-    the first by the hash of their id. Rows of the held-out fold never enter."""
+    the first by the hash of their id, and the log of how many times the odds of
+    class 1 among all labels are those of the sample. Rows of the held-out fold
+    never enter."""
     marked = (
         labels.where(F.col("toxic").isin(0, 1) & (crc_bucket(F.col("doc_id"), FOLDS) != 0))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .withColumn("at", F.xxhash64(F.col("doc_id").cast("string")))
     )
+    rows_of = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    # labelled rows for each that may be picked
+    times = {label: max(1.0, rows_of.get(label, 0) / max(per_class, 1)) for label in (0, 1)}
     picked = None
     for label in (0, 1):
         part = marked.where(F.col("toxic") == label).orderBy("at", "doc_id").limit(per_class)
@@ -131,14 +136,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, dims: in
     # ids of a bounded number of rows; of rows with one id, any order is fixed by the ids themselves
     got = texts.mapInPandas(hashed, "doc_id long, at long, toxic int, ids binary").toPandas()
     got = got.sort_values(["at", "doc_id", "ids"], kind="stable")
-    return [np.frombuffer(x, np.int32) for x in got.ids], got.toxic.to_numpy()
+    return [np.frombuffer(x, np.int32) for x in got.ids], got.toxic.to_numpy(), float(np.log(times[1] / times[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, dims: int = DIMS) -> Machine:
-    rows, y = training_sample(docs, labels, per_class, dims)
+    """The machine of the sample, with the odds of the classes among all training
+    labels: scores mean the same whatever part of the labels is picked."""
+    rows, y, shift = training_sample(docs, labels, per_class, dims)
     if not len(y):
         return Machine(-1.0, np.zeros(dims, np.float32), np.zeros((dims, FACTORS), np.float32), dims)
-    return fit(rows, y, dims)
+    machine = fit(rows, y, dims)
+    machine.b += shift
+    return machine
 
 
 def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:

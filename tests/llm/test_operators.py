@@ -252,6 +252,17 @@ def test_toxicity_on_held_out_rows(spark, edge, empty):
     assert toxicity.toxicity(empty, marks.limit(0)).count() == 0
 
 
+def test_scores_have_the_odds_of_all_labels(spark):
+    """Texts that say nothing: the score is the share of toxic labels, capped or not."""
+    rows = [(i, "the same words in every text") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, None, int(i % 10 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    train = [i % 10 == 0 for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    for per_class in (100, 4000):
+        score = toxicity.toxicity(docs, marks, per_class).first().score
+        assert abs(score - np.mean(train)) < 0.06, (per_class, score)
+
+
 # language
 
 
