@@ -49,8 +49,8 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def best_fit_packing(spark, docs, sf_dir):
-    """What is left, packed into sequences: a row for each piece."""
-    return packing.pack(docs)
+    """What is left, packed into sequences by its BPE tokens: a row for each piece."""
+    return packing.pack_encoded(docs)
 
 
 STAGES = [

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import word_blocks as wb
 from .common import documents
@@ -90,6 +91,25 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def encoded_size(word: bytes, ranks: dict[bytes, int]) -> int:
+    """How many ids ``encode_word`` gives; a short word's few pairs need no heap."""
+    if word in ranks:
+        return 1
+    n, get = len(word), ranks.get
+    if n > 64:
+        return len(encode_word(word, ranks))
+    none = 1 << 62
+    edges, found = list(range(n + 1)), [get(word[i : i + 2], none) for i in range(n - 1)]
+    while found and (low := min(found)) < none:
+        i = found.index(low)
+        del edges[i + 1], found[i]
+        if i < len(found):
+            found[i] = get(word[edges[i] : edges[i + 2]], none)
+        if i:
+            found[i - 1] = get(word[edges[i - 1] : edges[i + 1]], none)
+    return len(edges) - 1
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, finish, schema: str) -> DataFrame:
     """``finish(doc_ids, token counts, ids of all in one array, token table)``
     gives the rows of some documents; ``schema`` is theirs."""
@@ -170,7 +190,37 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return encode_documents(docs, path, pattern, _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def query(spark, sf_dir):
+def token_counts(docs: DataFrame, path: str, pattern: str, remember: int = 400_000) -> DataFrame:
+    """doc_id, n_tokens of every row of ``docs``: those of ``byte_bpe``, where it
+    lies. What a pre-token gives is remembered for up to ``remember`` of them,
+    after which the memory starts anew."""
+    table = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    def counted(frames):
+        pre, ranks = PreTokenizer(pattern), {t: k for k, t in enumerate(table.value) if t}
+
+        class Sizes(dict):
+            def __missing__(self, word):
+                if len(self) >= remember:
+                    self.clear()
+                self[word] = n = encoded_size(word.encode(), ranks)
+                return n
+
+        size = Sizes().__getitem__
+        for f in frames:
+            yield pd.DataFrame({"doc_id": f.doc_id, "n_tokens": [sum(map(size, pre(t))) if t else 0 for t in f.text]})
+
+    # as text, ids stay exact in pandas beside nulls
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(counted, "doc_id string, n_tokens long")
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_tokens")
+
+
+def public() -> tuple[str, str]:
+    """Path and pattern of the public vocabulary."""
     import public_tokenizers
 
-    return byte_bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def query(spark, sf_dir):
+    return byte_bpe(documents(spark, sf_dir), *public())

@@ -19,10 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from . import byte_bpe
+from .common import cut, documents
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
-#: Bytes of text that count as a token.
+#: Bytes of text that count as a token where no tokens are given.
 TOKEN_BYTES = 4
 #: Tokens and pieces of a shard, about.
 SHARD_TOKENS, SHARD_PIECES = 16_000_000, 40_000
@@ -135,5 +136,10 @@ def pack(docs: DataFrame, tokens: Column | None = None, capacities: tuple[int, .
     return binned.unionByName(nothing)
 
 
+def pack_encoded(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
+    """``pack`` by the tokens that byte-level BPE (``byte_bpe``) makes of each text."""
+    return pack(cut(byte_bpe.token_counts(docs, *byte_bpe.public()), "tokens"), F.col("n_tokens"), capacities)
+
+
 def query(spark, sf_dir):
-    return pack(documents(spark, sf_dir))
+    return pack_encoded(documents(spark, sf_dir))

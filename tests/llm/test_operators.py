@@ -197,6 +197,17 @@ def test_packing_holds_every_token_once(edge, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_query_packs_the_tokens_of_the_encoder(spark, tmp_path, vocabulary):
+    rows = [r[:2] for r in made_rows()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter((r.doc_id, r.n_tokens) for r in byte_bpe.byte_bpe(docs, *vocabulary).collect())
+    assert Counter((r.doc_id, r.n_tokens) for r in byte_bpe.token_counts(docs, *vocabulary, remember=50).collect()) == want
+    got = packing.query(spark, str(tmp_path)).toPandas()
+    assert got.n_tokens.sum() == sum(n * times for (_, n), times in want.items())
+    assert set(got[got.doc_id == 1 + 3 * 3].n_tokens) == {n for (i, n) in want if i == 1 + 3 * 3}
+
+
 def test_packing_beats_one_size():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 512, 3000).tolist()
