@@ -87,13 +87,21 @@ def q_mode_consensus(spark, d):
     return _clusters(spark, d).select("sample_id", "marker", "cluster_index", "consensus", "n_reads", "n_hp1", "n_hp2", "n_hp_none", "n_forward", "n_reverse", "n_phase_sets")
 
 
-def q_identity(spark, d):
-    c = _clusters(spark, d).where("cluster_index < 3")
+def _identities(c):
     a, b = c.alias("a"), c.alias("b")
     pairs = a.join(b, (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.marker") == F.col("b.marker")) & (F.col("a.cluster_index") < F.col("b.cluster_index")))
     return pairs.select(F.col("a.sample_id").alias("sample_id"), F.col("a.marker").alias("marker"), F.col("a.cluster_index").alias("i"), F.col("b.cluster_index").alias("j"), F.round(S.identity(F.col("a.consensus"), F.col("b.consensus")), 6).alias("identity"))
 
 
+def q_identity(spark, d):
+    """Of the first three clusters, as its SQL has it; ``q_identity_all`` has all."""
+    return _identities(_clusters(spark, d).where("cluster_index < 3"))
+
+
+def q_identity_all(spark, d):
+    return _identities(_clusters(spark, d))
+
+
 # interpretation
 
 
@@ -276,8 +284,17 @@ def q_infix_range(spark, d):
     return c.withColumn("_r", found).select("sample_id", "marker", "cluster_index", F.col("_r.range_seq").alias("range_seq"), F.col("_r.range_status").alias("range_status"))
 
 
+def _units(c):
+    return I.virtual_stutters(c.withColumn("motif", F.lit("AGAT"))).select("sample_id", "marker", "variant", "step", "origin", "run_copies")
+
+
 def q_alleles_by_units(spark, d):
-    return I.virtual_stutters(_clusters(spark, d).withColumn("motif", F.lit("AGAT")).where("cluster_index = 0")).select("sample_id", "marker", "variant", "step", "origin", "run_copies")
+    """Of the first cluster, as its SQL has it; ``q_alleles_by_units_all`` has all."""
+    return _units(_clusters(spark, d).where("cluster_index = 0"))
+
+
+def q_alleles_by_units_all(spark, d):
+    return _units(_clusters(spark, d))
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
