@@ -21,23 +21,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; an own one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
-    if not found:
+    """The folder of ``spark.checkpoint.dir``. Where none is set a session in one
+    process gets a temporary one; on a cluster executors could not see that."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tandemframe-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage
-    ends here, and a lost executor costs no recomputation of what is above."""
+    ends here, and a lost executor costs no recomputation of what is above. The
+    table goes when the session ends; that of ``instead_of``, an earlier cut
+    which nothing else reads, goes at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tandemframe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if instead_of is not None:
+        for old in {f.rpartition("/")[0] for f in instead_of.inputFiles()}:
+            gone = jvm.org.apache.hadoop.fs.Path(old)
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     return spark.read.schema(df.schema).parquet(path)
 
 

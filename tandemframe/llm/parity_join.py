@@ -1,22 +1,33 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set of five-word shingles is drawn on a sparse bit sketch of m
-segments: every shingle flips one bit of one segment. Two sketches differ in at
-most as many segments as their sets differ in shingles. At a similarity of 0.8
-sets of a and b shingles differ in d <= (a + b) / 9 of them, so of the m
-segments at least m - d are equal (pigeonhole). With the segments of a document
-in a fixed order, fullest first, linked documents therefore share one of their
-first d + 1. Those segments, each XORed into one key, are what is joined, per
-band of sizes. No link is lost; nothing is sampled.
-
-1. Texts with one shingle set fall into a class, of which one document goes on.
-2. Keys are shuffled packed by bucket. Documents with a common key give a star
-   of candidate edges, whose components are clusters: each document is in one.
-3. Within a cluster sets are compared exactly, rarest shingles first; documents
-   that are connected already aren't compared. A cluster beyond a task's bounds
-   is cut by size band and salt into blocks, and every two blocks that can hold
-   a link meet in a task.
+A document's set of five-word shingles is drawn on a bit sketch of m segments of
+2^32 bits: every shingle flips one bit of one segment. Two sketches differ in at
+most as many bits, and so in at most as many segments, as their sets differ in
+shingles. At a similarity of 0.8 sets of a and b shingles differ in
+d <= (a + b) / 9 of them, so of the m segments at least m - d are equal
+(pigeonhole). With the segments of a document in a fixed order, fullest first,
+linked documents therefore share one of their first d + 1. Those segments are
+what is joined, per band of sizes; a segment is named by the XOR of a code for
+each of its set bits, which equal segments have in common. No link is lost;
+nothing is sampled.
+
+1. One pass over the texts gives size, digests and keys of each set. Texts with
+   one set fall into a class, of which one document goes on.
+2. Keys are shuffled packed by bucket; of the documents of a batch with a common
+   key one goes on, so a key of any frequency is one entry a batch. A bucket
+   joins all that have keys in common and returns one edge a document at most.
+   The components of these edges deal the documents to tasks: both ends of every
+   link are in one.
+3. In a task the sketch join is made pair by pair: documents with a common key
+   whose sketches, folded to two bits a shingle, have a Hamming distance of at
+   most (a + b) / 9 are compared exactly; documents that are connected already
+   aren't. A component beyond a task's bounds is cut by size band and salt into
+   blocks, and every two blocks that can hold a link meet in a task.
 4. Components of the verified links.
+
+Shingles are compared as 64-bit hashes and equal sets are found by 128 bits of
+digest: two texts are taken for others than they are with a chance of some
+2^-64 for each pair of their shingles.
 """
 
 from __future__ import annotations
@@ -112,111 +123,164 @@ def keys_of(s: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def folded(s: np.ndarray, words: int) -> np.ndarray:
+    """The parity sketch of a set folded to ``words`` (a power of two) of 64 bits:
+    the Hamming distance of two is at most the number of shingles they differ in."""
+    out = np.zeros(words, _U)
+    at = mix(s) % _U(64 * words)
+    np.bitwise_xor.at(out, (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
+    return out
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, d1, d2: size and digests of every row's shingle set."""
+    """doc_id, n, d1, d2, keys: size, digests and sketch keys of every row's shingle set."""
 
     def made(frames):
         for f in frames:
             sets = shingle_sets(f.text)
             digests = [set_digest(s) for s in sets]
-            yield pd.DataFrame({"doc_id": f.doc_id, "n": [len(s) for s in sets], "d1": [d[0] for d in digests], "d2": [d[1] for d in digests]})
+            keys = [b"".join(k.tobytes() for k in keys_of(s)) for s in sets]
+            yield pd.DataFrame({"doc_id": f.doc_id, "n": [len(s) for s in sets], "d1": [d[0] for d in digests], "d2": [d[1] for d in digests], "keys": keys})
 
-    schema = "doc_id string, n long, d1 long, d2 long"
+    schema = "doc_id string, n long, d1 long, d2 long, keys binary"
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(made, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def classes(signed: DataFrame) -> DataFrame:
-    """signed with class_id, the least id of the rows with an equal set; by a
-    salted tree, as a third of all rows may have one set. Empty sets stay alone."""
+    """doc_id, n, d1, d2, salt, class_id, the least id of the rows with an equal set; by a
+    salted tree, as a third of all rows may have one set. Empty sets are left out."""
     same = ["n", "d1", "d2"]
-    some = signed.where("n > 0 and doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    some = signed.where("n > 0 and doc_id is not null").select("doc_id", *same).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     salted = some.groupBy(*same, "salt").agg(F.min("doc_id").alias("class_id"))
     merged = salted.groupBy(*same).agg(F.min("class_id").alias("class_id"), F.collect_set("salt").alias("salts"))
     down = merged.withColumn("salt", F.explode("salts")).drop("salts")
-    return some.join(down, [*same, "salt"]).select("doc_id", *same, "class_id")
+    return some.join(down, [*same, "salt"]).select("doc_id", *same, "salt", "class_id")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (a, b) that aren't the least of their component, and those."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    other = root != np.arange(len(nodes))
+    return nodes[other], nodes[root[other]]
+
+
+def by_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each key is first, with its least id, in the returned order, and the least id of each entry's key."""
+    order = np.lexsort((ids, keys))
+    first = np.diff(keys[order], prepend=~keys[order][:1]) != 0
+    return order, first, ids[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
+
 
+def _packed_ids(ids: np.ndarray) -> bytes:
+    steps = np.diff(ids, prepend=np.int64(0)).astype(_U)
+    return pack((steps & _U(0xFFFFFFFF)).astype(np.uint32), (steps >> _U(32)).astype(np.uint32))
 
-def candidate_edges(docs: DataFrame, buckets: int) -> DataFrame:
-    """u, v: a star over the documents of each key that several have."""
+
+def _unpacked_ids(data: bytes) -> np.ndarray:
+    lo, hi = unpack(data)
+    return np.cumsum((lo.astype(_U) | (hi.astype(_U) << _U(32))).astype(np.int64))
+
+
+def candidate_edges(heads: DataFrame, buckets: int) -> DataFrame:
+    """u, v: edges that connect the documents of each common key, from (doc_id, keys)."""
 
     def made(frames):
         for f in frames:
-            ids, keys, seen = [], [], set()
-            for doc_id, s in zip(f.doc_id.tolist(), shingle_sets(f.text), strict=True):
-                digest = set_digest(s)
-                if digest in seen:
-                    continue  # a copy within the batch: its class is known
-                seen.add(digest)
-                for k in keys_of(s):
-                    keys.append(k)
-                    ids.append(np.full(len(k), doc_id, np.int64))
-            if not keys:
+            counts = f["keys"].str.len().to_numpy() // 8
+            keys, ids = np.frombuffer(b"".join(f["keys"]), _U), np.repeat(f.doc_id.to_numpy(), counts)
+            if not len(keys):
                 continue
-            keys, ids = np.concatenate(keys), np.concatenate(ids)
+            order, first, least = by_key(keys, ids)
+            own = ids[order] != least
+            u, v = forest(ids[order][own], least[own])
+            if len(u):
+                yield pd.DataFrame({"bucket": [int(u[0] % buckets)], "ids": [_packed_ids(u)], "keys": [b""], "roots": [_packed_ids(v)]})
+            keys, ids = keys[order][first], least[first]
             of = (keys % _U(buckets)).astype(np.int64)
             order = np.lexsort((ids, of))
             keys, ids, of = keys[order], ids[order], of[order]
             at = np.flatnonzero(np.diff(of, prepend=-1))
-            for a, b in zip(at, [*at[1:], len(of)], strict=True):
-                steps = np.diff(ids[a:b], prepend=ids[a]).astype(_U)
-                yield pd.DataFrame({
-                    "bucket": [int(of[a])], "first": [int(ids[a])], "keys": [keys[a:b].tobytes()],
-                    "steps": [pack((steps & _U(0xFFFFFFFF)).astype(np.uint32), (steps >> _U(32)).astype(np.uint32))],
-                })
-
-    def starred(f: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(k, _U) for k in f["keys"]])
-        ids = []
-        for first, steps in zip(f["first"], f["steps"], strict=True):
-            lo, hi = unpack(steps)
-            ids.append(first + np.cumsum((lo.astype(_U) | (hi.astype(_U) << _U(32))).astype(np.int64)))
-        ids = np.concatenate(ids)
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        new = np.diff(keys, prepend=~keys[:1]) != 0
-        least = ids[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        own = ids != least
-        pairs = np.unique(np.stack([ids[own], least[own]], 1), axis=0)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-
-    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(made, "bucket int, first long, keys binary, steps binary")
-    return rows.groupBy("bucket").applyInPandas(starred, "u long, v long")
+            ends = [*at[1:], len(of)]
+            yield pd.DataFrame({
+                "bucket": of[at], "ids": [_packed_ids(ids[a:b]) for a, b in zip(at, ends, strict=True)],
+                "keys": [keys[a:b].tobytes() for a, b in zip(at, ends, strict=True)], "roots": b"",
+            })
+
+    def joined(f: pd.DataFrame) -> pd.DataFrame:
+        a, b, keys, ids = [], [], [np.empty(0, _U)], [np.empty(0, np.int64)]
+        for i, k, r in zip(f["ids"], f["keys"], f["roots"], strict=True):
+            if r:
+                a.append(_unpacked_ids(i))
+                b.append(_unpacked_ids(r))
+            else:
+                ids.append(_unpacked_ids(i))
+                keys.append(np.frombuffer(k, _U))
+        keys, ids = np.concatenate(keys), np.concatenate(ids)
+        if len(keys):
+            order, _, least = by_key(keys, ids)
+            own = ids[order] != least
+            a.append(ids[order][own])
+            b.append(least[own])
+        u, v = forest(np.concatenate(a), np.concatenate(b))
+        return pd.DataFrame({"u": u, "v": v})
+
+    rows = heads.mapInPandas(made, "bucket int, ids binary, keys binary, roots binary")
+    return rows.groupBy("bucket").applyInPandas(joined, "u long, v long")
 
 
 def links_among(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that span the components of the exact similarity graph of some documents.
-
-    Shingles are ordered by how many of the sets have them. Similar sets of a
-    and b share one of the first a - ceil(0.8 a) + 1 and first b - ... + 1.
-    """
-    n = len(sets)
-    by_size = sorted(range(n), key=lambda i: (len(sets[i]), ids[i]))
-    sizes = np.array([len(sets[i]) for i in by_size])
-    _, inverse, counts = np.unique(np.concatenate([sets[i] for i in by_size]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(counts), np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-    alone = int((counts == 1).sum())
-    tokens = np.split(rank[inverse], np.cumsum(sizes)[:-1])
-    root, postings, links = np.arange(n), {}, []
-    for i in range(n):
-        t = np.sort(tokens[i])
-        tokens[i] = t
-        a = len(t)
-        first = t[: a - -(-SIMILAR * a // OUT_OF) + 1]
-        first = first[first >= alone].tolist()
-        found = [np.array(p) for k in first if (p := postings.get(k))]
+    """Links that span the components of the similarity graph of some documents:
+    a common key, then the Hamming distance of the folded sketches, then the sets."""
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
+    ids, sets = np.asarray(ids)[order], [sets[i] for i in order]
+    sizes = np.array([len(s) for s in sets])
+    keys = [np.unique(np.concatenate(k)) if (k := keys_of(s)) else np.empty(0, _U) for s in sets]
+    # only keys that several have are looked up
+    _, at, seen = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    keys = [k[seen[k] > 1].tolist() for k in np.split(at, np.cumsum([len(k) for k in keys])[:-1])]
+    # sizes of linked documents are within a factor of 1.25, so a width is theirs or its half
+    widths = 1 << np.ceil(np.log2(np.maximum(sizes / 32, 1))).astype(np.int64)
+    row = np.empty(len(sets), np.int64)
+    sketches = {}
+    for w in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == w)
+        row[own] = np.arange(len(own))
+        sketches[w] = np.stack([folded(sets[i], w) for i in own])
+    root, postings, links = np.arange(len(sets)), {}, []
+    for i, s in enumerate(sets):
+        a, w, mine = len(s), int(widths[i]), sketches[int(widths[i])][row[i]]
+        found = [np.array(p) for k in keys[i] if (p := postings.get(k))]
         if found:
             near = np.unique(np.concatenate(found))
             near = near[OUT_OF * sizes[near] >= SIMILAR * a]
+            apart = np.full(len(near), 1 << 60)
+            for width in (w, w // 2):
+                of = widths[near] == width
+                if of.any():
+                    drawn = mine if width == w else mine[:width] ^ mine[width:]
+                    apart[of] = np.bitwise_count(sketches[width][row[near[of]]] ^ drawn).sum(1, dtype=np.int64)
+            near = near[9 * apart <= a + sizes[near]]
             while len(near):
                 j = int(near[0])
-                common = len(np.intersect1d(t, tokens[j], assume_unique=True))
+                common = len(np.intersect1d(s, sets[j], assume_unique=True))
                 near = near[1:]
                 if OUT_OF * common >= SIMILAR * (a + sizes[j] - common):
-                    links.append((int(ids[by_size[i]]), int(ids[by_size[j]])))
+                    links.append((int(ids[i]), int(ids[j])))
                     root[root == root[i]] = root[j]
                     near = near[root[near] != root[j]]
-        for k in first:
+        for k in keys[i]:
             postings.setdefault(k, []).append(i)
     return links
 
@@ -261,7 +325,7 @@ def verified_links(docs: DataFrame, clustered: DataFrame) -> DataFrame:
     )
 
     def compared(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates("class_id")
+        f = f.drop_duplicates(["class_id", "shingles"])
         return pd.DataFrame(links_among(f.class_id.to_numpy(), [np.frombuffer(s, _U) for s in f.shingles]), columns=["u", "v"], dtype="int64")
 
     return with_sets.select("cluster", "task.a.s", "task.a.p", F.col("task.b.s").alias("s2"), F.col("task.b.p").alias("p2"), "class_id", "shingles").groupBy("cluster", "s", "p", "s2", "p2").applyInPandas(compared, "u long, v long")
@@ -279,23 +343,17 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
     """
     signed = cut(signatures(docs), "sets")
     members = cut(classes(signed), "classes")
-    edges = candidate_edges(docs, 2 * partitions(docs.sparkSession)).distinct()
-    class_of = members.select("doc_id", "class_id").distinct()
-    edges = (
-        edges.join(class_of.select(F.col("doc_id").alias("u"), F.col("class_id").alias("a")), "u")
-        .join(class_of.select(F.col("doc_id").alias("v"), F.col("class_id").alias("b")), "v")
-        .select(F.col("a").alias("u"), F.col("b").alias("v"))
-    )
-    clusters = components(edges, "candidates")
-    clustered = clusters.select(F.col("node").alias("class_id"), F.col("root").alias("cluster"))
-    clustered = clustered.unionByName(clustered.select(F.col("cluster").alias("class_id"), "cluster").distinct())
     heads = members.where("doc_id = class_id").select("class_id", "n", "d1", "d2").distinct()
+    with_keys = signed.where("length(keys) > 0").join(heads.withColumnRenamed("class_id", "doc_id").hint("merge"), ["doc_id", "n", "d1", "d2"], "left_semi")
+    edges = candidate_edges(with_keys.select("doc_id", "keys"), 2 * partitions(docs.sparkSession))
+    dealt = components(edges, "candidates")
+    clustered = dealt.select(F.col("node").alias("class_id"), F.col("root").alias("cluster"))
+    clustered = clustered.unionByName(clustered.select(F.col("cluster").alias("class_id"), "cluster").distinct())
     links = verified_links(docs, clustered.join(heads, "class_id"))
-    found = components(links, "links")
-    joined = members.select("n", "d1", "d2", "class_id").distinct().join(found, F.col("class_id") == F.col("node"), "left")
-    # back down: classes to members by the salted tree's own key, the class
-    roots = joined.where("root is not null").select("class_id", "root").distinct()
-    linked = members.join(roots, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "class_id").alias("component_id"))
+    # down to the members, dealt by the salts of the classes: one of them may have a third of all rows
+    found = components(links, "links").select(F.col("node").alias("class_id"), "root")
+    roots = members.select("class_id", "salt").distinct().join(found, "class_id")
+    linked = members.join(roots.hint("merge"), ["class_id", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "class_id").alias("component_id"))
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 

@@ -97,6 +97,63 @@ def test_jaccard_clusters_cut_into_blocks_lose_nothing(spark, monkeypatch):
     assert got == linked(rows)
 
 
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_jaccard_join_by_any_number_of_partitions(spark, partitions):
+    """Near copies of several texts beside texts that share a passage only."""
+    rng, rows = np.random.default_rng(9), []
+    passage = [f"p{k}" for k in range(30)]
+    for base in range(4):
+        w = [f"w{base}x{k}" for k in range((40, 60, 150, 300)[base])]
+        for i in range(18):
+            v = list(w)
+            for _ in range(int(rng.integers(0, len(w) // 20))):
+                v[int(rng.integers(0, len(v)))] = f"n{rng.integers(0, 9)}"
+            rows.append((base * 100 + i, " ".join(v)))
+    rows += [(1000 + i, " ".join(passage + [f"o{i}x{k}" for k in range(30)])) for i in range(40)]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got == linked(rows)
+
+
+def test_a_bucket_returns_an_edge_for_each_document_at_most(spark):
+    """Candidate edges grow with the documents, not with the pairs of a group."""
+    made = {}
+    for n in (50, 200):
+        rows = [(i, " ".join(f"w{k}" if k != i % 60 else f"x{i}" for k in range(80))) for i in range(n)]
+        signed = parity_join.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+        edges = parity_join.candidate_edges(signed.select("doc_id", "keys"), 8).toPandas()
+        assert len(edges) <= 8 * n and (edges.u > edges.v).all()
+        made[n] = len(edges)
+    assert made[200] <= 5 * made[50]
+
+
+def test_folded_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 500, int(rng.integers(1, 300))).astype(np.uint64)) for _ in range(2))
+        for words in (1, 4, 16):
+            far = int(np.bitwise_count(parity_join.folded(x, words) ^ parity_join.folded(y, words)).sum())
+            assert far <= len(np.setxor1d(x, y))
+        wide = parity_join.folded(x, 8)
+        assert (wide[:4] ^ wide[4:] == parity_join.folded(x, 4)).all()
+
+
+def test_least_node_of_random_edges():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = rng.integers(-20, 40, (2, int(rng.integers(1, 60))))
+        root = {int(x): int(x) for x in np.concatenate([a, b])}
+        for _ in range(70):
+            for x, y in zip(a.tolist(), b.tolist()):
+                root[x] = root[y] = min(root[x], root[y])
+        u, v = parity_join.forest(a, b)
+        assert dict(zip(u.tolist(), v.tolist())) == {x: y for x, y in root.items() if x != y}
+
+
 def test_similar_sets_share_a_key():
     rng = np.random.default_rng(0)
     for _ in range(400):
