@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tandemframe.llm import wrappers
@@ -34,6 +36,79 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert texts(spark, pages) == ["Same\n\ntext"] * 9
 
 
+ARTICLE = "<h1>Title {k}</h1><p>Text {k} of the page.</p>"
+
+
+@pytest.mark.parametrize("body", [
+    '<body class="home no-sidebar"><article>{a}</article></body>',
+    '<body class="single post-template sidebar"><main>{a}</main></body>',
+    '<body><article class="post social-science">{a}</article></body>',
+    '<body><main class="related footer">{a}</main></body>',
+    '<body><div class="wp-block-group is-layout-constrained has-background zz sidebar-free theme-a main-content">{a}</div></body>',
+    '<body><div class="sidebar-right"><div class="content">{a}</div></div></body>',
+    '<body><form id="aspnetForm"><main>{a}</main></form></body>',
+    '<body><script>for(i=0;i<n;i++){{f()}}</script><article>{a}</article></body>',
+    '<body><SCRIPT>if(a<b)x="</div>"</SCRIPT ><style>a<b{{}}</style><article>{a}</article></body>',
+    '<body><div class="zz yy xx wp-block-group is-layout has-background sidebar"><p>more {k}</p></div><article>{a}</article></body>',
+    '<body><div class="comment-list"><p>reader {k}</p></div><div id="siteFooter">f {k}</div><div data-id="comments"><article>{a}</article></div></body>',
+    '<body><div role="navigation">n {k}</div><div role="main">{a}</div></body>',
+])
+def test_class_names_lose_no_page(spark, body):
+    """Words of a class count as a whole, never on the page, its main or its article."""
+    pages = [(f"http://h.example/{k}", body.format(k=k, a=ARTICLE.format(k=k)), f"Title {k}\n\nText {k} of the page.") for k in range(3)]
+    assert texts(spark, pages) == [w for _, _, w in pages]
+
+
+def test_regions_are_those_of_the_page(spark):
+    """One page with an article leaves the pages of its host that have none their text."""
+    pages = [("http://e.example/a", "<body><article><p>An article.</p></article><div><p>beside it</p></div></body>", "An article.")]
+    pages += [(f"http://e.example/{k}", f"<body><div><p>Story {k} here.</p><p>End {k}.</p></div></body>", f"Story {k} here.\n\nEnd {k}.") for k in range(6)]
+    assert texts(spark, pages) == [w for _, _, w in pages]
+
+
+def test_constant_text_of_a_content_region_stays_at_any_number_of_pages(spark):
+    for n in (2, 4, 9):
+        pages = [(f"http://g.example/{k}", f'<body><p class="cookie">Cookies</p><div class="content"><h2>Same</h2><p>Varies {k}.</p><p>x</p></div></body>', f"Same\n\nVaries {k}.\n\nx") for k in range(n)]
+        assert texts(spark, pages) == [w for _, _, w in pages]
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 10_000 + "<p>deep</p>" + "</div>" * 10_000
+    nav = "<div>" * 500 + "<nav><div>menu</div></nav><p>text</p>"
+    long = "<article>" + "".join(f"<p>b{k}</p>" for k in range(100_000)) + "</article>"
+    mixed = "".join(f"<{t}>m{k}</{t}>" for k, t in enumerate(["h2", "p", "ul", "pre", "p", "table", "dl"] * 3000) if k % 5)
+    pages = [("http://deep.example/1", deep, "deep"), ("http://deep.example/2", nav, "text"), ("http://long.example/", long, "\n\n".join(f"b{k}" for k in range(100_000)))]
+    pages += [(f"http://mixed.example/{i}", x, "\n\n".join(f"m{k}" for k in range(21_000) if k % 5 and (not i or k != 9))) for i, x in enumerate((mixed, mixed.replace("<pre>m9</pre>", "").replace("<p>m9</p>", "").replace("<ul>m9</ul>", "")))]
+    got = texts(spark, pages)
+    assert got[:3] == [w for _, _, w in pages[:3]]
+    assert [len(g) for g in got[3:]] == [len(w) for _, _, w in pages[3:]]
+
+
+def test_matches_are_common_subsequences():
+    rng = random.Random(1)
+    for size, most in ((8, None), (60, None), (60, 50)):
+        was, wrappers.PAIRS = wrappers.PAIRS, most or wrappers.PAIRS
+        try:
+            for _ in range(40):
+                a, b = ([rng.choice("abcdefgh" if size < 20 else [str(k) for k in range(40)]) for _ in range(rng.randrange(size))] for _ in range(2))
+                got = wrappers.matches(a, b)
+                assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+                if most is None:
+                    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+                    for i, x in enumerate(a):
+                        for j, y in enumerate(b):
+                            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+                    assert len(got) == best[-1][-1]
+        finally:
+            wrappers.PAIRS = was
+
+
+def test_wrappers_too_large_to_send_are_joined_by_salt(spark, monkeypatch):
+    pages = [(f"http://s.example/{k}", PAGE.format(n=k, body=f"<article><p>Text {k}</p></article>"), f"Text {k}") for k in range(20)]
+    monkeypatch.setattr(wrappers, "SENT_CHARS", 0)
+    assert texts(spark, pages) == [w for _, _, w in pages]
+
+
 def test_no_pages(spark):
     assert wrappers.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, text string, host string")).count() == 0
 
@@ -41,9 +116,9 @@ def test_no_pages(spark):
 def test_folding_makes_groups():
     tree, blocks = wrappers.parse("<dl><dt>a<dd>1<dt>b<dd>2<dt>c<dd>3</dl>")
     assert [b for b, _ in blocks] == ["a", "1", "b", "2", "c", "3"]
-    assert wrappers.fold(tree).shape() == "(dl(*+(dt(#),dd(#))))"
+    assert wrappers.fold(tree).shape() == "(dl(*+(dt(#0t),dd(#0t))))"
     one, two = (wrappers.fold(wrappers.parse(x)[0]) for x in ("<div><h1>x</h1><p>y</p></div>", "<div><p>y</p><p>z</p><hr><table><tr><td>1</table></div>"))
-    assert wrappers.merged([one, two]).shape() == "(div(h1?(#),p+(#),table?(tr(td(#)))))"
+    assert wrappers.merged([one, two]).shape() == "(div(h1?(#0t),p+(#0t),table?(tr(td(#0t)))))"
 
 
 @pytest.fixture
