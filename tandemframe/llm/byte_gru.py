@@ -232,7 +232,8 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, hidden: int
 
 def predict(docs: DataFrame, net: Network) -> DataFrame:
     """All rows of ``docs`` as they are, with lang_pred and score; columns of
-    those names in the input are replaced. Texts that are null or have no letter
+    those names in the input are replaced; of languages with one probability the
+    first by name is taken. Texts that are null or have no letter
     get ``und`` with score 1; so do all, with score 0, where no language was learned."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
 

@@ -172,7 +172,8 @@ def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.5) -
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; empty and null texts too.
-    Repeated rows get equal scores. No labels: one constant score below 0.5.
+    Repeated rows get equal scores. A document that is labelled several times
+    counts as toxic if one of them says so. No labels: one constant score below 0.5.
     An empty table gives no rows. Other columns are never read."""
     machine = train(docs, labels, per_class)
     return score_documents(docs.select("doc_id", "text"), machine).select(

@@ -1,8 +1,12 @@
+import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from tandemframe.llm import wrappers
+from tandemframe.llm import byte_gru, packing, toxicity, wrappers
+from tandemframe.llm.text_features import TermHasher
 
 from .conftest import KINDS, made_rows
 
@@ -159,6 +163,136 @@ def test_pipeline_against_brute_force(spark, folder):
     assert len(cp.run(spark, folder).collect()) == len(pieces)
 
 
+CLASHING = KINDS.replace("digest string", "digest string, predicted int, lang_pred string, row int, id long, sha string, kept_id long, head long, `a.b` int")
+
+
+def test_stages_leave_clashing_columns_alone(spark, folder):
+    import corpus_pipeline as cp
+
+    rows = [(*r[:9], 1, "xx", 5, 6, "s", 7, 8, 9, *r[9:]) for r in made_rows()]
+    docs = spark.createDataFrame(rows, CLASHING)
+    whole = {str(r) for r in docs.collect()}
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        assert {str(r) for r in out.collect()} <= whole and 0 < out.count()
+    assert cp.STAGES[4][1](spark, docs, folder).count() >= len(rows)
+
+
+def test_stages_of_empty_tables(spark, tmp_path, empty):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in cp.STAGES[:4]:
+        assert stage(spark, docs, str(tmp_path)).collect() == []
+    assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def plain_score(machine, ids):
+    """The machine's score by adding up every pair."""
+    raw = machine.b + sum(float(machine.w[i]) for i in ids)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            raw += sum(float(a) * float(b) for a, b in zip(machine.v[i], machine.v[j]))
+    return 1 / (1 + math.exp(-raw))
+
+
+def plain_language(net, text):
+    """Languages' mean probabilities over the bytes of a text, step by step."""
+    raw, h, total = text.encode(), net.u.shape[2], np.zeros(len(net.langs))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for start in range(0, len(raw), byte_gru.WINDOW):
+        part = raw[start : start + byte_gru.WINDOW]
+        padded = part + bytes(byte_gru.WINDOW - len(part))
+        states = []
+        for way, order in ((0, range(len(padded))), (1, range(len(padded) - 1, -1, -1))):
+            state, seen = np.zeros(h), {}
+            for k in order:
+                a, s = net.x[way][:, padded[k]], net.u[way] @ state + net.c[way]
+                r, z = sigmoid(a[:h] + s[:h]), sigmoid(a[h : 2 * h] + s[h : 2 * h])
+                cand = np.tanh(a[2 * h :] + r * s[2 * h :])
+                state = seen[k] = cand + z * (state - cand)
+            states.append(seen)
+        for k in range(len(part)):
+            logits = net.o @ np.concatenate([states[0][k], states[1][k]]) + net.b
+            e = np.exp(logits - logits.max())
+            total += e / e.sum()
+    return total / max(len(raw), 1)
+
+
+def test_first_stages_against_plain_models(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(6)
+    stems = {"aa": "bako lami taru", "bb": "schlupf wrinz strock", "cc": "quiole deaux riette"}
+    rows, marks = [], []
+    for i in range(240):
+        lang = ("aa", "bb", "cc")[i % 3]
+        w = [str(rng.choice(stems[lang].split())) + "xyz"[int(rng.integers(0, 3))] for _ in range(int(rng.integers(3, 40)))]
+        bad = i % 6 == 0
+        rows.append((i, " ".join([*w, *(["vile"] if bad else [])]), lang, "s", 0))
+        marks.append((i, 1, int(bad)))
+    rows += [(900, "12 34", "aa", "s", 0), (901, None, "bb", "s", 0), (902, "", None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    machine, hasher = toxicity.train(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))), TermHasher(toxicity.DIMS)
+    plain = {r[0]: plain_score(machine, hasher(r[1]).tolist()) for r in rows}
+    scored = {r.doc_id: r.score for r in toxicity.score_documents(docs, machine).collect()}
+    assert machine.v.any() and all(scored[i] == pytest.approx(plain[i], rel=1e-4, abs=1e-6) for i in plain)
+    out = [r.doc_id for r in cp.toxicity(spark, docs, str(tmp_path)).collect()]
+    assert sorted(out) == sorted(i for i, x in plain.items() if x < 0.5) and 180 < len(out) < 240
+    net = byte_gru.train(docs, per_language=60)
+    best = {r[0]: plain_language(net, r[1]) for r in rows[:40]}
+    got = {r.doc_id: r for r in byte_gru.predict(docs, net).collect()}
+    for i, p in best.items():
+        assert got[i].score == pytest.approx(p.max(), abs=1e-4) and got[i].lang_pred == net.langs[int(p.argmax())]
+    full = byte_gru.train(docs)
+    want = [i for i, t, *_ in rows if t and any(map(str.isalpha, t)) and plain_language(full, t).max() >= cp.LEAST_LANGUAGE_SCORE]
+    assert sorted(r.doc_id for r in cp.language_id(spark, docs, str(tmp_path)).collect()) == want
+
+
+def test_packing_stage_against_plain_best_fit(spark):
+    """One shard: the bins are those of a best fit that looks at every open bin."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "x" * int(rng.integers(0, 900))) for i in range(150)] + [(3, "x" * 10), (3, "x" * 10), (None, "abc"), (7, None)]
+    capacities = (64, 128, 200)
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), capacities=capacities).toPandas()
+    pieces = []
+    for i, t in rows:
+        n = math.ceil(len((t or "").encode()) / 4)
+        pieces += [(i, k, min(200, n - 200 * k)) for k in range(math.ceil(n / 200))]
+    pieces.sort(key=lambda p: (p[0] is not None, p[0] or 0, p[1], p[2]))
+    todo = sorted(range(len(pieces)), key=lambda k: (-pieces[k][2], k))
+    bins, where = [], {}
+    for at, k in enumerate(todo):
+        n = pieces[k][2]
+        fitting = [b for b in bins if b["cap"] - b["used"] >= n]
+        if fitting:
+            # the least room; of bins with that room the one that came to it last
+            b = min(fitting, key=lambda b: (b["cap"] - b["used"], -b["at"]))
+        else:
+            def filled(room):
+                total = 0
+                for later in sorted((pieces[j][2] for j in todo[at + 1 :]), reverse=True):
+                    if later <= room:
+                        total, room = total + later, room - later
+                return total
+
+            cap = min((c for c in capacities if c >= n), key=lambda c: (packing.cost(c) / (n + filled(c - n)), -c))
+            b = {"cap": cap, "used": 0, "held": [], "at": 0}
+            bins.append(b)
+        b["held"].append(pieces[k])
+        b["used"] += n
+        b["at"] = at + 1
+    want = sorted((tuple(sorted((str(i), p, n) for i, p, n in b["held"])), min(c for c in capacities if c >= b["used"])) for b in bins)
+    binned = got.dropna(subset=["bin_id"])
+    made = sorted((tuple(sorted((str(None if pd.isna(r.doc_id) else int(r.doc_id)), int(r.piece), int(r.n_tokens)) for r in b.itertuples())), int(b.bin_capacity.iloc[0])) for _, b in binned.groupby("bin_id"))
+    assert made == want
+    assert len(got) - len(binned) == sum(not t for _, t in rows)
+
+
 def test_registered_names():
     from tandemframe.llm import registry
 
