@@ -37,8 +37,8 @@ def _reads(spark: SparkSession, paths: list[str], panel: DataFrame, margin: int
     return spark.read.format("alignments").option("path", ",".join(paths)).option("regions", regions).load()
 
 
-def _params(args) -> P.RunParameters:
-    return P.RunParameters.of(**{s.name: getattr(args, s.name, None) for s in P.SPECS})
+def _params(args) -> P.Settings:
+    return P.Settings(**{n: getattr(args, n, None) for n in P.THRESHOLDS})
 
 
 def _run(spark, args, paths, samples=None, params=None) -> tuple[engine.RunFrames, DataFrame]:
@@ -52,7 +52,7 @@ def _run(spark, args, paths, samples=None, params=None) -> tuple[engine.RunFrame
 
 def interpret(spark, args) -> int:
     frames, _ = _run(spark, args, [args.bam])
-    print(_params(args).echo())
+    print(_params(args).text())
     for r in C.profile_rows(frames.loci).orderBy("sample", "marker_ord").toLocalIterator():
         print(f"{r.sample}\t{r.marker}\t{r.genotype}\t{r.call_rule}\t{r.called_reads}/{r.total_reads}\t{r.flags}")
     if args.trace:
@@ -79,7 +79,7 @@ def export(spark, args) -> int:
         exports.write_csv(exports.evidence_table(frames.alleles), f"{out}/evidence")
         exports.write_csv(exports.sequence_table(frames.alleles), f"{out}/sequences")
     if "xlsx" in kinds:
-        exports.write_xlsx(f"{out}/run.xlsx", exports.run_sheets(frames.loci, frames.alleles, Q.audit_frame(frames.loci, P.RunParameters())))
+        exports.write_xlsx(f"{out}/run.xlsx", exports.run_sheets(frames.loci, frames.alleles, Q.audit_frame(frames.loci, P.Settings())))
     if "vcf" in kinds:
         if not args.reference:
             raise SourceError("a VCF needs --reference")
@@ -175,8 +175,8 @@ def doctor(spark, args) -> int:
         lost = sorted({r.chromosome for r in panel.select("chromosome").distinct().collect()} - contigs)
         if lost:
             print(f"contigs that the file lacks\t{','.join(lost)}\tother prefix: {any(c.removeprefix('chr') in contigs or f'chr{c}' in contigs for c in lost)}")
-        gate = E.gated(_reads(spark, [args.bam], panel), panel, P.RunParameters())
-        low = P.RunParameters()["min_mapq"]
+        gate = E.gated(_reads(spark, [args.bam], panel), panel, P.Settings())
+        low = P.Settings()["min_mapq"]
         per = gate.groupBy("marker", "marker_ord").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("mapq") >= low).alias("n"), F.count_if(F.col("hp").isNotNull()).alias("hp"), F.count_distinct("ps").alias("ps"))
         for r in panel.select(F.col("name").alias("marker")).join(per, "marker", "left").orderBy("marker_ord").collect():
             n = r.n or 0
@@ -251,8 +251,8 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     def tuned(c):
-        for s in P.SPECS:
-            c.add_argument(f"--{s.name.replace('_', '-')}", type=type(s.default), help=f"{s.note} ({s.default}, {s.provenance})")
+        for name, rule in P.THRESHOLDS.items():
+            c.add_argument(f"--{name.replace('_', '-')}", type=type(rule.default), help=f"{rule.about} ({rule.default}, {rule.basis})")
         return c
 
     command("inspect", inspect, "path")

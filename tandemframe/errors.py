@@ -23,3 +23,7 @@ class InterpretationError(TandemError):
 
 class ReportError(TandemError):
     """A sink can't be written."""
+
+
+class ParameterError(TandemError):
+    """A threshold has a value it can't have."""

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from ..params import ANCHOR_BP, MAX_ANCHOR_EDIT
 
-RUN = "array<struct<start:int,motif:string,copies:int,bp:int>>"
-
 
 def find_runs(seq: str, motifs: list[str]) -> list[tuple[int, str, int, int]]:
     """Maximal runs, greedily from the left. Where several motifs start a run the
@@ -29,18 +27,6 @@ def find_runs(seq: str, motifs: list[str]) -> list[tuple[int, str, int, int]]:
     return out
 
 
-def mixed_runs():
-    """The function (sequence, motifs) -> runs, for motifs of any lengths. Like
-    every Python function here it is made on call: it needs a session."""
-
-    @F.pandas_udf(RUN)
-    def runs(seq: pd.Series, motif: pd.Series) -> pd.Series:
-        rows = [[dict(zip(("start", "motif", "copies", "bp"), r, strict=True)) for r in find_runs(s or "", [m for m in (ms or "").split(",") if m])] for s, ms in zip(seq, motif, strict=True)]
-        return pd.Series(rows, dtype=object)
-
-    return runs
-
-
 def infix(anchor: str, target: str) -> tuple[int, int, int]:
     """(edits, start, end) of the best alignment of all of ``anchor`` somewhere in
     ``target``: least edits, then the first end, then the longest start-to-end."""
@@ -50,17 +36,13 @@ def infix(anchor: str, target: str) -> tuple[int, int, int]:
     for i, base in enumerate(a, 1):
         diagonal = row[:-1] + (t != base)
         above = row[1:] + 1
-        new, from_ = np.empty_like(row), np.empty_like(start)
-        new[0], from_[0] = i, 0
-        take = np.where(diagonal <= above, diagonal, above)
-        origin = np.where(diagonal <= above, start[:-1], start[1:])
-        # the left neighbour costs one more per step: a running minimum of cost minus position
-        for j in range(1, len(t) + 1):
-            if new[j - 1] + 1 < take[j - 1]:
-                new[j], from_[j] = new[j - 1] + 1, from_[j - 1]
-            else:
-                new[j], from_[j] = take[j - 1], origin[j - 1]
-        row, start = new, from_
+        take = np.concatenate([[i], np.where(diagonal <= above, diagonal, above)])
+        origin = np.concatenate([[0], np.where(diagonal <= above, start[:-1], start[1:])])
+        # the left neighbour costs one more per step: a running minimum of cost minus position, the latest on a tie
+        steps = np.arange(len(take))
+        low = np.minimum.accumulate(take - steps)
+        at = np.maximum.accumulate(np.where(take - steps == low, steps, 0))
+        row, start = low + steps, origin[at]
     end = int(row.argmin())
     return int(row[end]), int(start[end]), end
 
@@ -118,4 +100,4 @@ def locate_window(cigar: list[tuple[int, int]], ref_start: int, start: int, end:
     return first, stop
 
 
-__all__ = ["ANCHOR_BP", "between_anchors", "find_runs", "infix", "locate_window", "mixed_runs", "reporting_range"]
+__all__ = ["ANCHOR_BP", "between_anchors", "find_runs", "infix", "locate_window", "reporting_range"]

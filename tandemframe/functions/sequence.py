@@ -1,8 +1,9 @@
 """Sequences as Column expressions: motif runs, repeat cores, notation, numbers.
 
-Motifs are a comma-separated string column or literal. The expressions hold for
-motifs of one length, as in every panel that is shipped; ``scan.py`` has the
-general scan for mixed lengths.
+Motifs are a comma-separated string column or literal. Motifs of one length, as
+most markers have, are found by one regular expression. Where a marker's motifs
+differ in length the run of most bases wins at each position, which no
+expression says: ``_scanned`` walks those sequences, still in the JVM.
 """
 
 from __future__ import annotations
@@ -46,6 +47,43 @@ def motif_length(motif) -> Column:
     return F.length(F.substring_index(_col(motif), ",", 1))
 
 
+def mixed(motif) -> Column:
+    """Do the motifs differ in length?"""
+    return F.size(F.array_distinct(F.transform(F.split(_col(motif), ","), lambda m: F.length(m)))) > 1
+
+
+def _either(motif, general, even: Column) -> Column:
+    """``general()`` where the motifs differ in length, ``even`` elsewhere; decided
+    once for motifs that are given as text."""
+    if isinstance(motif, str):
+        return general() if len({len(m) for m in motif.split(",")}) > 1 else even
+    return F.when(mixed(motif), general()).otherwise(even)
+
+
+_RUNS = "array<struct<start:int,motif:string,copies:int,bp:int>>"
+
+
+def _scanned(seq: Column, motif) -> Column:
+    """Maximal runs from the left for motifs of any lengths: at each position the
+    run of most bases, then of the earlier motif."""
+    n = F.length(seq)
+
+    def run_at(i: Column) -> Column:
+        rest = F.substring(seq, i + 1, n)
+        found = F.transform(F.split(_col(motif), ","), lambda m, k: F.struct(F.coalesce(F.length(F.regexp_substr(rest, F.concat(F.lit("^(?:"), m, F.lit(")+")))), F.lit(0)).alias("bp"), (-k).alias("k"), m.alias("m")))
+        return F.array_max(found)
+
+    def step(s: Column, i: Column) -> Column:
+        def told(best: Column) -> Column:
+            run = F.struct(i.alias("start"), best["m"].alias("motif"), (best["bp"] / F.length(best["m"])).cast("int").alias("copies"), best["bp"].alias("bp"))
+            return F.when(best["bp"] > 0, F.struct((i + best["bp"]).alias("at"), F.concat(s["found"], F.array(run)).alias("found"))).otherwise(s)
+
+        return F.when(i < s["at"], s).otherwise(let(run_at(i), told))
+
+    state = F.struct(F.lit(0).alias("at"), F.array().cast(_RUNS).alias("found"))
+    return F.aggregate(F.filter(F.sequence(F.lit(0), n), lambda i: i < n), state, step, lambda s: s["found"])
+
+
 def runs(seq: Column, motif) -> Column:
     """array<struct<start,motif,copies,bp>> of maximal motif runs, left to right."""
     k = motif_length(motif)
@@ -59,7 +97,8 @@ def runs(seq: Column, motif) -> Column:
         return F.transform(found, one)
 
     pattern = run_pattern(motif)
-    return let(F.regexp_extract_all(seq, pattern, F.lit(0)), lambda f: let(F.split(seq, pattern), lambda g: placed(f, g)))
+    even = let(F.regexp_extract_all(seq, pattern, F.lit(0)), lambda f: let(F.split(seq, pattern), lambda g: placed(f, g)))
+    return _either(motif, lambda: _scanned(seq, motif), even)
 
 
 def longest_runs(found: Column) -> Column:
@@ -69,8 +108,27 @@ def longest_runs(found: Column) -> Column:
 
 
 def lus_units(seq: Column, motif, strand="+") -> Column:
-    k = motif_length(motif)
-    return F.array_max(F.transform(F.regexp_extract_all(oriented(seq, strand), run_pattern(motif), F.lit(0)), lambda r: (F.length(r) / k).cast("int")))
+    k, turned = motif_length(motif), oriented(seq, strand)
+    even = F.array_max(F.transform(F.regexp_extract_all(turned, run_pattern(motif), F.lit(0)), lambda r: (F.length(r) / k).cast("int")))
+    return _either(motif, lambda: F.array_max(F.transform(_scanned(turned, motif), lambda r: r["copies"])), even)
+
+
+def _island(seq: Column, motif) -> Column:
+    """The core for motifs of any lengths: of islands of runs the first with most run bases."""
+
+    def step(s: Column, r: Column) -> Column:
+        near = (s["n"] > 0) & (r["start"] - s["end"] <= GAP)
+        begin, bases = F.when(near, s["begin"]).otherwise(r["start"]), F.when(near, s["n"]).otherwise(0) + r["bp"]
+        best = bases > s["most"]
+        end = r["start"] + r["bp"]
+        return F.struct(
+            begin.alias("begin"), end.alias("end"), bases.alias("n"), F.greatest(s["most"], bases).alias("most"),
+            F.when(best, begin).otherwise(s["from"]).alias("from"), F.when(best, end).otherwise(s["to"]).alias("to"),
+        )
+
+    state = F.struct(*(F.lit(0).alias(c) for c in ("begin", "end", "n", "most", "from", "to")))
+    at = lambda s: F.when(s["most"] > 0, F.substring(seq, s["from"] + 1, s["to"] - s["from"]))
+    return F.aggregate(_scanned(seq, motif), state, step, at)
 
 
 def _core(seq: Column, motif) -> Column:
@@ -80,7 +138,8 @@ def _core(seq: Column, motif) -> Column:
         weights = F.transform(islands, lambda g: F.length(g) - F.length(F.regexp_replace(g, pattern, F.lit(""))))
         return let(weights, lambda w: F.get(islands, F.array_position(w, F.array_max(w)).cast("int") - 1))
 
-    return let(F.regexp_extract_all(seq, core_pattern(motif), F.lit(0)), heaviest)
+    even = let(F.regexp_extract_all(seq, core_pattern(motif), F.lit(0)), heaviest)
+    return _either(motif, lambda: _island(seq, motif), even)
 
 
 def repeat_core(seq: Column, motif, strand="+") -> Column:
@@ -104,20 +163,36 @@ def brackets(seq: Column, motif, strand="+") -> Column:
         return F.when(F.regexp_like(t, whole), run).otherwise(F.lower(t))
 
     marked = F.regexp_replace(oriented(seq, strand), F.concat(F.lit("("), run_pattern(motif), F.lit(")")), F.lit(" $1 "))
-    parts = F.filter(F.split(marked, " "), lambda t: t != "")
-    return F.when(F.coalesce(_col(motif), F.lit("")) == "", seq).when(seq == "", seq).otherwise(F.array_join(F.transform(parts, token), " "))
+    even = F.array_join(F.transform(F.filter(F.split(marked, " "), lambda t: t != ""), token), " ")
+    whole_seq = _either(motif, lambda: let(oriented(seq, strand), lambda s: _bracketed(s, motif)), even)
+    return F.when(F.coalesce(_col(motif), F.lit("")) == "", seq).when(seq == "", seq).otherwise(whole_seq)
+
+
+def _bracketed(seq: Column, motif) -> Column:
+    """The notation for motifs of any lengths: what lies before each run, the run, and the end."""
+    between = lambda s, to: F.lower(F.substring(seq, s["at"] + 1, to - s["at"]))
+
+    def step(s: Column, r: Column) -> Column:
+        run = F.when(r["copies"] == 1, r["motif"]).otherwise(F.concat(F.lit("["), r["motif"], F.lit("]"), r["copies"].cast("string")))
+        return F.struct((r["start"] + r["bp"]).alias("at"), F.concat(s["parts"], F.array(between(s, r["start"]), run)).alias("parts"))
+
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    parts = F.aggregate(_scanned(seq, motif), state, step, lambda s: F.concat(s["parts"], F.array(between(s, F.length(seq)))))
+    return F.array_join(F.filter(parts, lambda t: t != ""), " ")
 
 
 def repeat_summary(seq: Column, motif, strand="+") -> Column:
     """TCTAx4 + TCTGx1 (TR 64 bp)"""
     k = motif_length(motif)
     bp = F.length(seq).cast("string")
-    found = F.regexp_extract_all(oriented(seq, strand), run_pattern(motif), F.lit(0))
-    parts = F.transform(found, lambda r: F.concat(F.substring(r, F.lit(1), k), F.lit("x"), (F.length(r) / k).cast("int").cast("string")))
+    turned = oriented(seq, strand)
+    found = F.regexp_extract_all(turned, run_pattern(motif), F.lit(0))
+    even = F.transform(found, lambda r: F.concat(F.substring(r, F.lit(1), k), F.lit("x"), (F.length(r) / k).cast("int").cast("string")))
+    parts = _either(motif, lambda: F.transform(_scanned(turned, motif), lambda r: F.concat(r["motif"], F.lit("x"), r["copies"].cast("string"))), even)
     return (
         F.when(seq == "", F.lit(""))
         .when(F.coalesce(_col(motif), F.lit("")) == "", F.concat(bp, F.lit(" bp")))
-        .when(F.size(found) == 0, F.concat(F.lit("no motif match, "), bp, F.lit(" bp TR")))
+        .when(F.size(parts) == 0, F.concat(F.lit("no motif match, "), bp, F.lit(" bp TR")))
         .otherwise(F.concat(F.array_join(parts, " + "), F.lit(" (TR "), bp, F.lit(" bp)")))
     )
 

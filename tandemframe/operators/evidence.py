@@ -1,24 +1,25 @@
 """Evidence: reads on windows, why reads are rejected, clusters of observations.
 
-All of it is keyed by (sample_id, marker); the panel is broadcast, as it is a
-table of windows that a person maintains (its size is checked).
+All of it is keyed by (sample_id, marker); the panel is broadcast where its size,
+which is checked, allows it.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EvidenceError
 from ..functions import sequence as S
-from ..functions.scan import find_runs, locate_window
-from ..params import FETCH_MARGIN, GAP, REFINE_PASSES, RunParameters
+from ..functions.scan import find_runs
+from ..params import FETCH_MARGIN, GAP, REFINE_PASSES, Settings
 from ..schemas import CLUSTERS, REASONS
 from .consensus import Backend, consensus_of
+from .sizes import sent
 
 #: A panel of more windows than this is joined by genome bin instead of broadcast.
 BROADCAST_WINDOWS = 10_000
@@ -54,7 +55,7 @@ def fetched(reads: DataFrame, spans: DataFrame, n_windows: int | None = None, ma
     return left.join(right, (F.col("chrom") == F.col("w_chrom")) & (F.col("bin") == F.col("w_bin")) & (F.col("bin") == first) & overlap).drop("bin", "w_bin")
 
 
-def reject_reason(params: RunParameters) -> Column:
+def reject_reason(params: Settings) -> Column:
     """The first gate a fetched read fails, all but the last; NULL if it passes."""
     anchor = params["flank_anchor"]
     return (
@@ -67,21 +68,38 @@ def reject_reason(params: RunParameters) -> Column:
     )
 
 
-def gated(reads: DataFrame, panel: DataFrame, params: RunParameters) -> DataFrame:
+def window_on_read(cigar: Column, ref_start: Column, start: Column, end: Column) -> Column:
+    """struct<from, to> in the read of reference window [start, end): from the first
+    aligned base at or after start to the base at end, or past the last aligned one
+    before it; NULL if there are none. The same as ``scan.locate_window``, in the JVM."""
+    none = F.lit(None).cast("int")
+    state = F.struct(ref_start.cast("int").alias("r"), F.lit(0).alias("q"), none.alias("first"), none.alias("last"), none.alias("stop"))
+    a, b = start.cast("int"), end.cast("int")
+
+    def step(s, c):
+        n, op = c["len"], c["op"].cast("int")
+        both, past = op.isin(0, 7, 8), s["r"] + n
+        return F.struct(
+            F.when(op.isin(0, 2, 3, 7, 8), past).otherwise(s["r"]).alias("r"), F.when(op.isin(0, 1, 4, 7, 8), s["q"] + n).otherwise(s["q"]).alias("q"),
+            F.when(both & s["first"].isNull() & (past > a), s["q"] + F.greatest(F.lit(0), a - s["r"])).otherwise(s["first"]).alias("first"),
+            F.when(both & (s["r"] < b), s["q"] + F.least(n, b - s["r"]) - 1).otherwise(s["last"]).alias("last"),
+            F.when(both & s["stop"].isNull() & (s["r"] <= b) & (b < past), s["q"] + b - s["r"]).otherwise(s["stop"]).alias("stop"),
+        )
+
+    def found(s):
+        to = F.coalesce(s["stop"], s["last"] + 1)
+        return F.when(to > s["first"], F.struct(s["first"].alias("from"), to.alias("to")))
+
+    return F.aggregate(cigar, state, step, found)
+
+
+def gated(reads: DataFrame, panel: DataFrame, params: Settings) -> DataFrame:
     """Fetched reads with reason and, of those that pass, the window's sequence."""
     found = fetched(reads, windows(panel)).withColumn("reason", reject_reason(params))
 
-    @F.pandas_udf("from int, to int")
-    def located(cigar: pd.Series, ref_start: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
-        rows = []
-        for ops, r, a, b in zip(cigar, ref_start, start, end, strict=True):
-            got = None if ops is None else locate_window([(o["op"], o["len"]) for o in ops], int(r), int(a), int(b))
-            rows.append(got or (None, None))
-        return pd.DataFrame(rows, columns=["from", "to"], dtype="Int32")
-
-    # only reads that passed the cheap gates carry their alignment to Python
-    cigar = F.when(F.col("reason").isNull(), F.col("cigar"))
-    found = found.withColumn("at", located(cigar, "ref_start", "start0", "end0"))
+    # only reads that passed the cheap gates have their alignment walked
+    walked = window_on_read(F.col("cigar"), F.col("ref_start"), F.col("start0"), F.col("end0"))
+    found = found.withColumn("at", F.when(F.col("reason").isNull(), walked))
     lost = F.col("reason").isNull() & F.col("at.from").isNull()
     found = found.withColumn("reason", F.when(lost, "window_unlocatable").otherwise(F.col("reason")))
     passed = F.col("reason").isNull()
@@ -153,37 +171,54 @@ def core_length(seq: str, motifs: list[str], strand: str) -> int | None:
 
 
 def edits(a: str, b: str, most: int | None = None) -> int:
-    """Levenshtein distance; anything above ``most`` if it is more than that."""
-    if a == b:
-        return 0
+    """Levenshtein distance; anything above ``most`` if it is more than that. A
+    column of the table is a pair of bit vectors, moved by whole-number arithmetic."""
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     if len(a) > len(b):
         a, b = b, a
-    if most is not None and len(b) - len(a) > most:
-        return most + 1
-    at = np.frombuffer(b.encode(), np.uint8)
-    row = np.arange(len(at) + 1)
-    steps = np.arange(len(at) + 1)
-    for i, base in enumerate(a.encode(), 1):
-        new = np.minimum(row[1:] + 1, row[:-1] + (at != base))
-        new = np.concatenate([[i], new])
-        row = np.minimum.accumulate(new - steps) + steps
-        if most is not None and row.min() > most:
+    if not a or most is not None and len(b) - len(a) > most:
+        return len(b)
+    at: dict[str, int] = {}
+    for k, base in enumerate(a):
+        at[base] = at.get(base, 0) | 1 << k
+    mask, top, distance, left = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a), len(b)
+    up, down = mask, 0  # rows where the column grows, or falls, by one
+    for base in b:
+        same = at.get(base, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right, back = (down | ~(diagonal | up)) & mask, up & diagonal
+        distance += bool(right & top) - bool(back & top)
+        left -= 1
+        if most is not None and distance - left > most:
             return most + 1
-    return int(row[-1])
+        right = right << 1 | 1
+        back <<= 1
+        settled = same | down
+        up, down = (back | ~(settled | right)) & mask, right & settled & mask
+    return distance
 
 
-def likeness(a: str, b: str) -> float:
+def likeness(a: str, b: str, least: float = 0.0) -> float:
+    """1 - edits / longer length; some value below ``least`` if it is less than that."""
     if not a or not b:
         return 0.0
-    return 1.0 if a == b else 1 - edits(a, b) / max(len(a), len(b))
+    longer = max(len(a), len(b))
+    return 1.0 if a == b else 1 - edits(a, b, int((1 - least) * longer) + 1) / longer
 
 
 class LocusClusterer:
     """Reads of one locus, in read order, into clusters.
 
     Bins of one repeat-core length; in a bin, reads join the first remaining
-    read they are alike enough with; reads move to the cluster whose consensus
-    they are nearest to, for a few passes; clusters of one consensus merge.
+    read they are alike enough with, and move to that cluster of their bin whose
+    consensus they are nearest to, for a few passes. So a read of another length
+    is never absorbed. Clusters of one consensus merge, whatever their bin.
     """
 
     def __init__(self, motifs: list[str], strand: str, threshold: float, tolerance: int, backend: Backend):
@@ -197,7 +232,7 @@ class LocusClusterer:
     def alike(self, a: str, b: str) -> float:
         key = (a, b) if a <= b else (b, a)
         if key not in self._alike:
-            self._alike[key] = likeness(a, b)
+            self._alike[key] = likeness(a, b, self.threshold)
         return self._alike[key]
 
     def bins(self, seqs: list[str]) -> list[list[int]]:
@@ -228,34 +263,36 @@ class LocusClusterer:
         return out
 
     def refined(self, clusters, seqs):
-        """(members, consensus, method) after moving reads to nearer consensuses."""
+        """(members, consensus, method) of a bin after moving reads to nearer
+        consensuses. Only clusters of two reads and more attract, the larger one on a
+        tie; a read that is alike enough to none stays."""
+        if len(clusters) < 2:
+            return clusters
         for _ in range(REFINE_PASSES):
             attractors = sorted((k for k, c in enumerate(clusters) if len(c[0]) >= 2 and c[1]), key=lambda k: -len(clusters[k][0]))
-            if len(attractors) < 1:
+            if not attractors:
                 break
             home = {i: k for k, c in enumerate(clusters) for i in c[0]}
-            moved = False
-            target = dict(home)
-            for i in sorted(home):
-                best, at = -1.0, None
-                for k in attractors:
-                    x = self.alike(seqs[i], clusters[k][1])
-                    if x > best:
-                        best, at = x, k
-                if at is not None and best >= self.threshold and at != home[i]:
-                    target[i], moved = at, True
-            if not moved:
+            target = {}
+            for i, own in home.items():
+                best, at = max(((self.alike(seqs[i], clusters[k][1]), -n) for n, k in enumerate(attractors)))
+                target[i] = attractors[-at] if best >= self.threshold else own
+            if target == home:
                 break
             members: dict[int, list[int]] = {}
             for i in sorted(target):
                 members.setdefault(target[i], []).append(i)
-            clusters = [(m, *consensus_of([seqs[i] for i in m], self.backend)) for _, m in sorted(members.items())]
+            clusters = [
+                clusters[k] if clusters[k][0] == own else (own, *consensus_of([seqs[i] for i in own], self.backend))
+                for k, own in sorted(members.items())
+            ]
         return clusters
 
     def __call__(self, seqs: list[str]) -> list[tuple[list[int], str, str]]:
-        groups = [g for own in self.bins(seqs) for g in self.seeded(own, seqs)]
-        clusters = [(g, *consensus_of([seqs[i] for i in g], self.backend)) for g in groups]
-        clusters = self.refined(clusters, seqs)
+        clusters = []
+        for own in self.bins(seqs):
+            split = [(g, *consensus_of([seqs[i] for i in g], self.backend)) for g in self.seeded(own, seqs)]
+            clusters += self.refined(split, seqs)
         by_consensus: dict = {}
         for n, c in enumerate(clusters):
             key = c[1] if c[1] else n  # empty ones never merge
@@ -267,20 +304,31 @@ class LocusClusterer:
         return sorted(by_consensus.values(), key=lambda c: -len(c[0]))
 
 
-def full_clusters(obs: DataFrame, panel: DataFrame, params: RunParameters, backend: Callable[[], Backend] | None = None) -> DataFrame:
+def full_clusters(obs: DataFrame, panel: DataFrame, params: Settings, backend: Callable[[], Backend] | None = None) -> DataFrame:
     """Clusters of every locus by ``LocusClusterer``; a group is the reads of one
-    sample at one marker, some hundreds, so groups stay small at any number of samples."""
-    marked = obs.join(F.broadcast(panel.select(F.col("name").alias("marker"), "motif", F.col("strand").alias("marker_strand"), "ont_len_tolerance")), "marker")
+    sample at one marker, some hundreds, so groups stay small at any number of samples.
+
+    A locus whose clustering fails has no clusters, so no call, and the run goes
+    on; the failure is logged where it happened.
+    """
+    columns = panel.select(F.col("name").alias("marker"), "motif", F.col("strand").alias("marker_strand"), "ont_len_tolerance")
+    marked = obs.join(sent(columns, panel), "marker")
     threshold, tolerance = params["identity_threshold"], params["len_tolerance_bp"]
     backend = backend or Backend
+    LocusClusterer([], "+", threshold, tolerance, backend())  # what is wrong with the settings fails here
 
     def of_locus(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("read_ord", kind="stable")
         first = f.iloc[0]
         motifs = [m for m in (first.motif or "").split(",") if m]
         clusterer = LocusClusterer(motifs, first.marker_strand, threshold, int(first.ont_len_tolerance or 0) or tolerance, backend())
+        try:
+            clusters = clusterer(f.sequence.tolist())
+        except Exception:
+            logging.getLogger("tandemframe").exception("sample %s, marker %s: no clusters", first.sample_id, first.marker)
+            clusters = []
         rows = []
-        for index, (members, consensus, method) in enumerate(clusterer(f.sequence.tolist())):
+        for index, (members, consensus, method) in enumerate(clusters):
             own = f.iloc[members]
             blocks = own.ps[own.hp.notna() & own.ps.notna()].unique()
             rows.append((

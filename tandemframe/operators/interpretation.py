@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import sequence as S
 from ..functions import stats
-from ..params import RunParameters, StutterModel
+from ..params import Settings, StutterModel
+from .sizes import sent
 
 LOCUS = ("sample_id", "marker")
 PANEL_COLUMNS = (
@@ -34,7 +35,7 @@ def named(clusters: DataFrame, panel: DataFrame, ranges: DataFrame | None = None
     and out, names it: a name that begins with CE<number>_ gives the number. On
     the minus strand the range is turned first.
     """
-    rows = clusters.join(F.broadcast(panel.select(F.col("name").alias("marker"), F.col("strand").alias("marker_strand"), *PANEL_COLUMNS)), "marker")
+    rows = clusters.join(sent(panel.select(F.col("name").alias("marker"), F.col("strand").alias("marker_strand"), *PANEL_COLUMNS), panel), "marker")
     bp = F.length("consensus")
     anchor = F.col("ref_end") - F.col("ref_start") + 1
     rows = rows.withColumns({
@@ -49,7 +50,7 @@ def named(clusters: DataFrame, panel: DataFrame, ranges: DataFrame | None = None
         from ..functions.scan import reporting_range
 
         anchors = ranges.select(F.col("name").alias("marker"), "left_anchor", "right_anchor", "minus")
-        rows = rows.join(F.broadcast(anchors), "marker", "left").withColumn("_r", reporting_range()("consensus", "left_anchor", "right_anchor"))
+        rows = rows.join(sent(anchors, ranges), "marker", "left").withColumn("_r", reporting_range()("consensus", "left_anchor", "right_anchor"))
         rows = rows.withColumns({"range_seq": F.col("_r.range_seq"), "strnaming_status": F.when(F.col("left_anchor").isNull(), "no_range").when(F.col("_r.range_status") == "ok", "error").otherwise(F.col("_r.range_status"))})
         rows = rows.withColumn("range_seq", F.when(F.col("minus"), S.reverse_complement(F.col("range_seq"))).otherwise(F.col("range_seq"))).drop("_r", "left_anchor", "right_anchor", "minus")
     else:
@@ -148,7 +149,7 @@ def with_stutter(rows: DataFrame, model: StutterModel = StutterModel(), parent_f
     return rows.withColumn("expected_stutter", own).drop("_s", "_all")
 
 
-def status(params: RunParameters) -> Column:
+def status(params: Settings) -> Column:
     """Ordered: stutter comes before both thresholds, and wins a tie with its expectation."""
     return (
         F.when(F.col("total_reads") <= 0, "no_data").when(F.col("is_deletion"), "deletion")
@@ -195,11 +196,11 @@ def _candidate() -> Column:
     return F.when(candidate, F.struct((-F.col("n_reads")).alias("r"), F.col("cluster_index").alias("i"), F.col("n_reads").alias("n"), F.col("dominant_hp").alias("hp"), F.col("phase_set").alias("ps")))
 
 
-def _decided(rows: DataFrame, params: RunParameters) -> DataFrame:
+def _decided(rows: DataFrame, params: Settings) -> DataFrame:
     """From c (candidates, strongest first), tri, thr and floor: call_rule, tri_type, called, rescued."""
     a1, a2, a3 = (F.get("c", F.lit(k)) for k in range(3))
     n = F.size("c")
-    third_floor = F.lit(params["min_reads_third"]) if not params.is_default("min_reads_third") else F.coalesce("floor", F.lit(params["min_reads_third"]))
+    third_floor = F.lit(params["min_reads_third"]) if "min_reads_third" in params.changed() else F.coalesce("floor", F.lit(params["min_reads_third"]))
     t = F.coalesce("thr", F.lit(P.TRI_BALANCED))
     r12, r23, r13 = a2["n"] / a1["n"], a3["n"] / a2["n"], a3["n"] / a1["n"]
     low = r12 < params["min_phr_for_het"]
@@ -218,7 +219,7 @@ def _decided(rows: DataFrame, params: RunParameters) -> DataFrame:
     }).drop("c", "tri", "thr", "floor")
 
 
-def genotypes(rows: DataFrame, params: RunParameters) -> DataFrame:
+def genotypes(rows: DataFrame, params: Settings) -> DataFrame:
     """One row for each locus: call_rule, tri_type, called (cluster indexes, strongest first), rescued."""
     loci = rows.groupBy(*LOCUS).agg(
         F.array_sort(F.collect_list(_candidate())).alias("c"), F.sum("n_reads").cast("long").alias("total_reads"), F.first("allow_triallelic").alias("tri"),
@@ -227,7 +228,7 @@ def genotypes(rows: DataFrame, params: RunParameters) -> DataFrame:
     return _decided(loci, params)
 
 
-def called_alleles(rows: DataFrame, params: RunParameters) -> DataFrame:
+def called_alleles(rows: DataFrame, params: Settings) -> DataFrame:
     """Candidates with their locus's call and is_called, allele_index (from 1; 0 if
     not called), hp_rescued; over the locus's window, as a join would deal all anew."""
     gathered = rows.withColumns({"c": F.array_sort(F.collect_list(_candidate()).over(locus())), "tri": F.col("allow_triallelic"), "thr": F.col("tri_balanced_thr"), "floor": F.col("min_reads_third")})
@@ -244,7 +245,7 @@ def best_catalog_entry(alleles: DataFrame, catalog: DataFrame, most: int = P.CAT
     first entry on a tie. The length window comes before the distance, which is bounded."""
     entries = catalog.select(F.col("marker").alias("c_marker"), "entry_ord", F.col("ce").alias("c_ce"), "suffix", "source", F.upper("sequence").alias("c_seq"), F.col("isfg").alias("c_isfg"))
     near = (F.col("marker") == F.col("c_marker")) & (F.abs(F.length("consensus") - F.length("c_seq")) <= window)
-    hits = alleles.select(*LOCUS, "cluster_index", "consensus").join(F.broadcast(entries), near).withColumn("distance", F.levenshtein("consensus", "c_seq", most))
+    hits = alleles.select(*LOCUS, "cluster_index", "consensus").join(sent(entries, catalog), near).withColumn("distance", F.levenshtein("consensus", "c_seq", most))
     hits = hits.where(F.col("distance").between(0, most))
     first = F.min_by(F.struct("distance", "c_ce", "suffix", "source", "c_isfg"), F.struct("distance", "entry_ord"))
     return hits.groupBy(*LOCUS, "cluster_index").agg(first.alias("hit")).select(*LOCUS, "cluster_index", "hit.*")
@@ -265,7 +266,7 @@ def annotated(alleles: DataFrame, catalog: DataFrame | None) -> DataFrame:
 
 def sex_calls(gate: DataFrame, panel: DataFrame, samples: DataFrame, least: int = P.SEX_MIN_READS) -> DataFrame:
     """X and Y read counts of the sex marker, and who shows which."""
-    sex = F.broadcast(panel.where("marker_type = 'amel'").select(F.col("name").alias("marker"), "marker_ord"))
+    sex = sent(panel.where("marker_type = 'amel'").select(F.col("name").alias("marker"), "marker_ord"), panel)
     counts = gate.where("reason is null").join(sex.select("marker"), "marker", "left_semi").groupBy(*LOCUS).agg(
         F.count_if(F.col("window") == "own").alias("x_reads"), F.count_if(F.col("window") == "y").alias("y_reads")
     )
@@ -276,3 +277,22 @@ def sex_calls(gate: DataFrame, panel: DataFrame, samples: DataFrame, least: int
         F.when(has_x & has_y, "heterozygous").when(has_x | has_y, "homozygous").otherwise("no_data").alias("call_rule"),
         F.concat_ws(",", F.when(has_x, "X"), F.when(has_y, "Y")).alias("genotype"),
     )
+
+
+def sex_alleles(sex: DataFrame, like: DataFrame) -> DataFrame:
+    """The letters of ``sex_calls`` as called alleles with the columns of ``like``
+    (from ``called_alleles``): no sequence and no number, the letter is the notation."""
+    letter = lambda name, reads, k: F.when(F.array_contains(F.split("genotype", ","), name), F.struct(F.lit(name).alias("letter"), F.col(reads).alias("n"), F.lit(k).alias("k")))
+    rows = sex.withColumn("called", F.filter(F.array(letter("X", "x_reads", 0), letter("Y", "y_reads", 1)), lambda a: a.isNotNull()))
+    rows = rows.select("*", F.posexplode("called").alias("at", "a"))
+    letters, n, none = F.col("a.letter"), F.col("a.n"), F.lit(0)
+    told = {
+        "sample_id": F.col("sample_id"), "marker": F.col("marker"), "marker_ord": F.col("marker_ord"), "call_rule": F.col("call_rule"), "total_reads": F.col("total_reads"),
+        "cluster_index": F.col("a.k"), "allele_index": F.col("at") + 1, "is_called": F.lit(True), "called": F.transform("called", lambda x: x["k"]),
+        **{c: letters for c in ("consensus", "isfg", "repeat_label", "number_label")}, "n_reads": n, "n_hp_none": n, "fraction": stats.share(n, F.col("total_reads")),
+        **{c: none for c in ("n_hp1", "n_hp2", "n_forward", "n_reverse", "n_phase_sets", "n_reads_absorbed", "length_bp", "bp_diff", "mean_qual", "expected_stutter")},
+        **{c: F.lit(False) for c in ("is_deletion", "hp_rescued", "number_is_absolute", "allow_triallelic")},
+        **{c: F.lit("") for c in ("tri_type", "iso_suffix", "iso_source", "repeat_summary", "consensus_method", "strnaming_name")},
+        "status": F.lit("allele"), "number_method": F.lit("none"), "repeat_label_source": F.lit("none"), "iso_match": F.lit("none"), "strnaming_status": F.lit("no_range"),
+    }
+    return rows.select(*(told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields))

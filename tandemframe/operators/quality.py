@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import stats
-from ..params import FLAGS, RunParameters
+from ..params import FLAGS, Settings
 
 LOCUS = ("sample_id", "marker")
 
@@ -37,7 +37,7 @@ def locus_summary(alleles: DataFrame) -> DataFrame:
     )
 
 
-def flagged(loci: DataFrame, params: RunParameters = RunParameters()) -> DataFrame:
+def flagged(loci: DataFrame, params: Settings = Settings()) -> DataFrame:
     """loci with flags (array of code, severity, short, message), allele_balance, discarded_reads, needs_review."""
     c = F.col("alleles_called")
     reads = lambda k: F.get(c, F.lit(k))["n_reads"]
@@ -50,7 +50,7 @@ def flagged(loci: DataFrame, params: RunParameters = RunParameters()) -> DataFra
     any_ = lambda test: F.exists(c, test)
     none = F.col("call_rule") == "no_data"
     m = F.col("marker")
-    derived = params.derived_overrides()
+    derived = params.changed("derived")
     text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
     made = [
         flag("mixture_suspected", F.col("tri_type") == "mixture_suspected", text(m, ": more alleles than expected; possibly a mixture")),
@@ -108,14 +108,14 @@ def file_sha256(path: str) -> str:
     return digest.hexdigest()
 
 
-def audit_frame(loci: DataFrame, params: RunParameters, backend: str = "poa_native", stutter_version: str = "default", run_id: str = "") -> DataFrame:
+def audit_frame(loci: DataFrame, params: Settings, backend: str = "poa_native", stutter_version: str = "default", run_id: str = "") -> DataFrame:
     """One row for each sample: counts by flag, review state, parameters, seal."""
     per = flag_rows(loci).groupBy("sample_id", "code").agg(F.count(F.lit(1)).alias("n"))
     counts = per.groupBy("sample_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n")))).alias("flag_counts"))
     review = loci.groupBy("sample_id").agg(F.max("needs_review").alias("needs_review"), F.count(F.lit(1)).alias("n_markers"), F.count_if(F.col("call_rule") != "no_data").alias("n_called"))
     rows = review.join(counts, "sample_id", "left").withColumns({
         "schema_version": F.lit("1.0"), "run_id": F.lit(run_id), "poa_backend": F.lit(backend), "stutter_model_version": F.lit(stutter_version),
-        "flags_checked": F.array(*map(F.lit, sorted(FLAGS))), "parameters": F.lit(json.dumps(params.as_dict(), sort_keys=True)),
+        "flags_checked": F.array(*map(F.lit, sorted(FLAGS))), "parameters": F.lit(json.dumps(dict(params), sort_keys=True)),
     })
     ordered = F.to_json(F.struct(*sorted(rows.columns)))
     return rows.withColumn("record_sha256", F.sha2(ordered, 256))

@@ -11,7 +11,8 @@ from ..operators import evidence as E
 from ..operators import interpretation as I
 from ..operators import quality as Q
 from ..operators.consensus import Backend
-from ..params import RunParameters, StutterModel
+from ..operators.sizes import sent
+from ..params import Settings, StutterModel
 
 
 @dataclass
@@ -24,7 +25,7 @@ class RunFrames:
     sex: DataFrame | None = None
 
 
-def interpret(clusters: DataFrame, panel: DataFrame, params: RunParameters = RunParameters(), model: StutterModel = StutterModel(), catalog: DataFrame | None = None, ranges: DataFrame | None = None, namer=None) -> DataFrame:
+def interpret(clusters: DataFrame, panel: DataFrame, params: Settings = Settings(), model: StutterModel = StutterModel(), catalog: DataFrame | None = None, ranges: DataFrame | None = None, namer=None) -> DataFrame:
     """Cluster rows with everything that is decided about them and their locus.
     Order: name, stutter, status, phantoms, catalog, call."""
     rows = I.with_fraction(I.named(clusters, panel, ranges, namer))
@@ -34,8 +35,9 @@ def interpret(clusters: DataFrame, panel: DataFrame, params: RunParameters = Run
 
 
 def all_loci(loci: DataFrame, samples: DataFrame, panel: DataFrame) -> DataFrame:
-    """Every sample at every marker: loci without reads come back as no_data."""
-    grid = samples.crossJoin(F.broadcast(panel.where("marker_type <> 'amel'").select(F.col("name").alias("marker"), F.col("marker_ord").alias("_ord"), F.col("category").alias("_cat"), F.col("kit_nomenclature_note").alias("_note"))))
+    """Every sample at every marker of the panel: loci without reads come back as no_data."""
+    markers = panel.select(F.col("name").alias("marker"), F.col("marker_ord").alias("_ord"), F.col("category").alias("_cat"), F.col("kit_nomenclature_note").alias("_note"))
+    grid = samples.crossJoin(sent(markers, panel))
     kind = loci.schema["alleles_called"].dataType.simpleString()
     rows = grid.join(loci, ["sample_id", "marker"], "left")
     return rows.withColumns({
@@ -44,16 +46,20 @@ def all_loci(loci: DataFrame, samples: DataFrame, panel: DataFrame) -> DataFrame
     }).drop("_ord", "_cat", "_note")
 
 
-def run(reads: DataFrame, panel: DataFrame, params: RunParameters = RunParameters(), model: StutterModel = StutterModel(), catalog: DataFrame | None = None, ranges: DataFrame | None = None, backend=Backend, samples: DataFrame | None = None, namer=None) -> RunFrames:
+def run(reads: DataFrame, panel: DataFrame, params: Settings = Settings(), model: StutterModel = StutterModel(), catalog: DataFrame | None = None, ranges: DataFrame | None = None, backend=Backend, samples: DataFrame | None = None, namer=None) -> RunFrames:
     """Nothing is computed until a table of the result is used.
 
     One sample failing to be read is the source's concern: it hands on what it
     could read. A sample given in ``samples`` without reads has no_data throughout.
     """
     gate = E.gated(reads, panel, params)
-    obs = E.observations(gate.join(F.broadcast(panel.where("marker_type <> 'amel'").select(F.col("name").alias("marker"))), "marker", "left_semi"))
+    repeats = sent(panel.where("marker_type <> 'amel'").select(F.col("name").alias("marker")), panel)
+    obs = E.observations(gate.join(repeats, "marker", "left_semi"))
     clusters = E.full_clusters(obs, panel, params, backend)
     alleles = interpret(clusters, panel, params, model, catalog, ranges, namer)
     samples = reads.select("sample_id").distinct() if samples is None else samples
+    sex = I.sex_calls(gate, panel, samples)
+    if panel.where("marker_type = 'amel'").head() is not None:  # the sex marker is a locus like any other in all that follows
+        alleles = alleles.unionByName(I.sex_alleles(sex, alleles))
     loci = Q.flagged(all_loci(Q.locus_summary(alleles), samples, panel), params)
-    return RunFrames(gate, obs, clusters, alleles, loci, I.sex_calls(gate, panel, samples))
+    return RunFrames(gate, obs, clusters, alleles, loci, sex)

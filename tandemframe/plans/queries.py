@@ -11,10 +11,10 @@ from ..operators import cohort as C
 from ..operators import evidence as E
 from ..operators import interpretation as I
 from ..operators import quality as Q
-from ..params import FLAGS, RunParameters
+from ..params import FLAGS, THRESHOLDS, Settings
 from . import engine, fixtures
 
-PARAMS = RunParameters()
+PARAMS = Settings()
 
 
 def _gate(spark, d):
@@ -266,7 +266,7 @@ def q_canonical_genotype(spark, d):
 
 
 def q_parameters(spark, d):
-    return PARAMS.frame(spark).select("name", "value", "provenance", "is_default")
+    return PARAMS.table(spark).select("name", "value", "provenance", "is_default")
 
 
 # beyond SQL: clusters by identity and alignment
@@ -424,7 +424,7 @@ ORACLE = {
     "q_forward_fill": "SELECT n_nationkey, first_value(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS header FROM nation",
     "q_canonical_genotype": """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN concat(p_size, '/', p_size) WHEN p_partkey % 5 = 0 THEN concat(p_size, '/X')
       ELSE concat(least(p_size, p_partkey % 13), '/', greatest(p_size, p_partkey % 13)) END AS genotype FROM part""",
-    "q_parameters": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{v}', '{p}', true)" for n, v, _, p, _, _ in PARAMS.rows()) + ") t(name, value, provenance, is_default)",
+    "q_parameters": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{r.default}', '{r.basis}', true)" for n, r in THRESHOLDS.items()) + ") t(name, value, provenance, is_default)",
     "q_alleles_by_units": _CLUSTERS + "SELECT sample_id, marker, variant, step, origin, run_copies FROM vs WHERE cluster_index = 0",
     "q_infix_range": _CLUSTERS + "SELECT sample_id, marker, cluster_index, substr(consensus, 21, length(consensus) - 45) AS range_seq, 'ok' AS range_status FROM clusters",
 }

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import ReportError
 from ..operators import cohort as C
 from ..operators import quality as Q
+from ..operators.sizes import sent
 
 LOCUS = ("sample_id", "marker")
 
@@ -39,7 +40,7 @@ def write_json(records: DataFrame, path: str) -> None:
 
 
 def profile_table(loci: DataFrame, panel: DataFrame) -> DataFrame:
-    where = F.broadcast(panel.select(F.col("name").alias("marker"), F.col("chromosome").alias("chrom"), "ref_start", "ref_end", "motif"))
+    where = sent(panel.select(F.col("name").alias("marker"), F.col("chromosome").alias("chrom"), "ref_start", "ref_end", "motif"), panel)
     rows = C.profile_rows(loci).join(where, "marker")
     slots = [f"allele{k}_{c}" for k in (1, 2, 3) for c in ("isfg", "repeat_summary", "ce", "bp_diff", "cov", "hp1", "hp2", "seq")]
     return rows.select("sample", "marker", "chrom", "ref_start", "ref_end", "motif", "call_rule", "tri_type", "status_chip", "total_reads", *slots)
@@ -99,7 +100,7 @@ def vcf_rows(loci: DataFrame, panel: DataFrame, references: DataFrame) -> DataFr
     dot where that allele isn't called.
     """
     where = panel.where("marker_type <> 'amel'").select(F.col("name").alias("marker"), "chromosome", "ref_start", "ref_end", "motif", "period", F.col("strand").alias("marker_strand"))
-    rows = loci.where("total_reads > 0").join(F.broadcast(where.join(references, "marker")), "marker")
+    rows = loci.where("total_reads > 0").join(sent(where.join(references, "marker"), panel), "marker")
     shown = lambda a: F.when(a["consensus"] == "", F.lit("<DEL>")).otherwise(a["consensus"])
     called = F.transform("alleles_called", shown)
     alts = F.array_distinct(F.filter(called, lambda s: s != F.col("ref")))

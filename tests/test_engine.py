@@ -9,7 +9,7 @@ from tandemframe.operators import evidence as E
 from tandemframe.operators import interpretation as I
 from tandemframe.operators import quality as Q
 from tandemframe.operators.consensus import Backend, NoBackend, consensus_of
-from tandemframe.params import RunParameters
+from tandemframe.params import Settings
 from tandemframe.plans import engine
 from tandemframe.sinks import exports, report
 from tandemframe.sources import bam, tables
@@ -114,6 +114,61 @@ def test_one_snv_is_noise_at_97_and_an_allele_at_99():
     assert [len(m) for m, _, _ in clusterer()(reads)] == [6] and [len(m) for m, _, _ in clusterer(threshold=0.99)(reads)] == [5, 1]
 
 
+def test_a_read_of_another_length_is_not_absorbed():
+    """160 against 156 bases are alike enough, but another allele."""
+    ten, nine = "C" * 60 + "AGAT" * 10 + "G" * 60, "C" * 60 + "AGAT" * 9 + "G" * 60
+    found = E.LocusClusterer(["AGAT"], "+", 0.97, 0, Backend())([ten] * 10 + [nine])
+    assert [(len(m), c) for m, c, _ in found] == [(10, ten), (1, nine)]
+
+
+def test_refinement_within_bins_by_plain_rule():
+    """Several bins of noisy reads: no read is nearer to a consensus of its bin than to its own."""
+    rng = random.Random(5)
+    truth = ["C" * 40 + "AGAT" * n + "G" * 20 + tail for n, tail in ((10, "T" * 20), (10, "A" * 20), (8, "T" * 20))]
+    seqs = []
+    for _ in range(40):
+        t = list(rng.choice(truth))
+        if rng.random() < 0.3:
+            t[rng.randrange(0, 30)] = "T"
+        seqs.append("".join(t))
+    found = E.LocusClusterer(["AGAT"], "+", 0.95, 0, Backend())(seqs)
+    assert sorted(i for m, _, _ in found for i in m) == list(range(40)) and {c for _, c, _ in found} == set(truth)
+    for members, consensus, _ in found:
+        for i in members:
+            own = E.core_length(seqs[i], ["AGAT"], "+")
+            near = [E.likeness(seqs[i], c) for m, c, _ in found if E.core_length(c, ["AGAT"], "+") == own]
+            assert E.likeness(seqs[i], consensus) == max(near)
+
+
+def test_a_locus_that_fails_fails_alone(spark, tmp_path, panel):
+    rows = het() + [record("o", 12) | {"ref_start": 0}]
+    path = cohort_file(tmp_path, rows)
+    good = {r.marker: r.call_rule for r in engine.run(read(spark, path), panel).loci.collect()}
+    assert good["TEST"] == "heterozygous" and good["EMPTY"] == "no_data"
+
+    class Odd(E.LocusClusterer):
+        def __call__(self, seqs):
+            raise RuntimeError("no clusters")
+
+    was, E.LocusClusterer = E.LocusClusterer, Odd
+    try:
+        loci = engine.run(read(spark, path), panel).loci.collect()
+    finally:
+        E.LocusClusterer = was
+    assert {r.marker: r.call_rule for r in loci} == {"TEST": "no_data", "EMPTY": "no_data"}
+
+
+def test_settings_are_checked():
+    from tandemframe.errors import ParameterError
+
+    for bad in ({"min_mapq": 2.5}, {"min_mapq": -1}, {"identity_threshold": 0}, {"identity_threshold": 1.5}, {"calling_thresh": "x"}, {"min_reads_third": True}):
+        with pytest.raises(ParameterError):
+            Settings(**bad)
+    s = Settings(min_mapq=30.0, balanced_ab_max=1)
+    assert s["min_mapq"] == 30 and dict(s)["balanced_ab_max"] == 1.0 and len(s) == 10 and s.changed("chosen") == ["min_mapq", "balanced_ab_max"]
+    assert "* min_mapq = 30 (default 20, chosen)" in s.text()
+
+
 def test_clusters_do_not_depend_on_read_order():
     rng = random.Random(2)
     reads = ["AGAT" * 12] * 9 + ["AGAT" * 11] * 7 + ["AGAT" * 6 + "AGAC" + "AGAT" * 5] * 2
@@ -161,7 +216,7 @@ def candidates(spark, rows, **panel):
 
 def call(spark, rows, **panel):
     df = I.suppress_phantoms(candidates(spark, rows, **panel))
-    r = I.genotypes(df, RunParameters()).first()
+    r = I.genotypes(df, Settings()).first()
     return r.call_rule, list(r.called), r.rescued
 
 
@@ -193,7 +248,7 @@ def test_status_order(spark):
     cases = [({}, "allele"), ({"total_reads": 0}, "no_data"), ({"is_deletion": True}, "deletion"), ({"expected_stutter": 50.0}, "stutter"), ({"fraction": 0.019}, "noise"), ({"fraction": 0.09}, "artefact"), ({"fraction": 0.01, "expected_stutter": 60.0}, "stutter")]
     for change, want in cases:
         r = base | change
-        assert spark.range(1).select(*(F.lit(v).alias(k) for k, v in r.items())).select(I.status(RunParameters())).first()[0] == want
+        assert spark.range(1).select(*(F.lit(v).alias(k) for k, v in r.items())).select(I.status(Settings())).first()[0] == want
 
 
 def test_sex(spark, tmp_path):
@@ -201,8 +256,31 @@ def test_sex(spark, tmp_path):
     x = [record(f"x{i}", 12) for i in range(4)]
     y = [r | {"ref_start": 300, "qname": f"y{i}"} for i, r in enumerate([record("y", 12)] * 3)]
     for rows, want in ((x + y, "X,Y"), (x, "X"), (x[:2], "")):
-        sex = engine.run(read(spark, cohort_file(tmp_path, rows, f"s{len(rows)}")), panel).sex.first()
-        assert sex.genotype == want
+        run = engine.run(read(spark, cohort_file(tmp_path, rows, f"s{len(rows)}")), panel)
+        assert run.sex.first().genotype == want
+        locus = run.loci.first()
+        assert [a.number_label for a in locus.alleles_called] == [x for x in want.split(",") if x] and locus.total_reads == (len(rows) if want else 0)
+        assert locus.call_rule == ("heterozygous" if "," in want else "homozygous" if want else "no_data")
+        assert {f.code for f in locus.flags} == ({"low_coverage"} if want else {"dropout"})
+
+
+def test_sex_marker_is_in_every_output(spark, tmp_path, panel):
+    systems = [{"name": "TEST", "chromosome": "chr1", "ref_start": 101, "ref_end": 148, "motif": "AGAT", "period": 4}, {"name": "AMEL", "chromosome": "chr1", "ref_start": 601, "ref_end": 648, "marker_type": "amel", "y_chromosome": "chr2", "y_ref_start": 101, "y_ref_end": 148}]
+    both = tables.checked_panel(spark, systems)
+    x = [record(f"x{i}", 12) | {"ref_start": 500} for i in range(14)]
+    y = [record(f"y{i}", 12) | {"chrom": "chr2"} for i in range(9)]
+    path = str(tmp_path / "sex.bam")
+    bam.write_bam(path, [("chr1", 1000), ("chr2", 1000)], het() + x + y, "@RG\tID:rg1\tSM:s\n")
+    run = engine.run(read(spark, path), both)
+    tidy = [(r.marker, r.allele_label, r.reads, r.call_rule) for r in C.tidy(run.loci).collect() if r.marker == "AMEL"]
+    assert sorted(tidy) == [("AMEL", "X", 14, "heterozygous"), ("AMEL", "Y", 9, "heterozygous")]
+    assert C.batch_summary(run.loci, ["TEST", "AMEL"]).first().AMEL == "X,Y"
+    record_ = exports.run_records(run.loci, run.alleles).first()
+    assert [r.call_rule for r in record_.results if r.marker == "AMEL"] == ["heterozygous"]
+    assert {r.marker for r in exports.evidence_table(run.alleles).collect()} == {"TEST", "AMEL"} == {r.marker for r in exports.profile_table(run.loci, both).collect()}
+    refs = spark.createDataFrame([("TEST", 0, "AGAT" * 12), ("AMEL", 0, "A" * 48)], "marker string, contig_ord int, ref string")
+    assert [r.line.split("\t")[2] for r in exports.vcf_rows(run.loci, both, refs).collect()] == ["TEST"]
+    assert {m: g for m, g in ((r.marker, r.genotype) for r in C.profile_rows(run.loci).collect())} == {"TEST": "12 / 11", "AMEL": "X / Y"}
 
 
 def test_panel_checks(spark, tmp_path):
@@ -274,10 +352,10 @@ def test_audit_seal():
 
 
 def test_parameters(spark):
-    p = RunParameters.of(min_mapq=30, len_tolerance_bp=1, calling_thresh=None)
-    assert p.overrides() == ["min_mapq", "len_tolerance_bp"] and p.derived_overrides() == ["len_tolerance_bp"] and p["calling_thresh"] == 0.10
+    p = Settings(min_mapq=30, len_tolerance_bp=1, calling_thresh=None)
+    assert p.changed() == ["min_mapq", "len_tolerance_bp"] and p.changed("derived") == ["len_tolerance_bp"] and p["calling_thresh"] == 0.10
     with pytest.raises(KeyError):
-        RunParameters.of(nonsense=1)
+        Settings(nonsense=1)
 
 
 def test_stutter_fit_recovers_a_known_trend(spark):

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tandemframe.functions import scan
 from tandemframe.functions import sequence as S
 from tandemframe.functions import stats
-from tandemframe.operators.evidence import core_length, edits
+from tandemframe.operators.evidence import core_length, edits, window_on_read
 from tandemframe.params import StutterModel
+from tandemframe.schemas import CIGAR
 
 
 def one(spark, *cols):
@@ -55,8 +56,34 @@ def test_runs(spark):
 
 def test_mixed_motifs_take_the_longer_run(spark):
     assert scan.find_runs("AGATAGATAGATA", ["AGAT", "AGATA"]) == [(0, "AGAT", 3, 12)]
-    got = spark.createDataFrame([("AGATAGATAGATA", "AGAT,AGATA")], "s string, m string").select(scan.mixed_runs()("s", "m").alias("r")).first().r
-    assert got[0].copies == 3
+    row = one(spark, S.runs(F.lit("AGATAGATAGATAAAGATA"), "AGAT,AGATA").alias("r")).r
+    assert [tuple(r) for r in row] == [(0, "AGAT", 3, 12), (14, "AGATA", 1, 5)]
+
+
+def test_motifs_of_any_lengths_are_those_of_the_scan(spark):
+    """Runs, core, units, notation and summary by column against a plain scan."""
+    rng, rows = random.Random(8), []
+    for motifs in ("AGAT,AGATA", "CTTT,TTCC,CT", "AG,AGAT", "AGAT,AGAC", "ATT,A"):
+        parts = [*motifs.split(","), "A", "C", "GATT", "TTTTTTTTTTTTTTT"]
+        rows += [("".join(rng.choice(parts) for _ in range(rng.randrange(0, 16))), motifs, rng.choice("+-")) for _ in range(60)]
+    seq, motif, strand = F.col("s"), F.col("m"), F.col("d")
+    got = spark.createDataFrame(rows, "s string, m string, d string").select(
+        "s", "m", "d", S.runs(seq, motif).alias("runs"), S.repeat_core_length(seq, motif, strand).alias("core"), S.lus_units(seq, motif, strand).alias("lus"),
+        S.brackets(seq, motif, strand).alias("notation"), S.repeat_summary(seq, motif, strand).alias("summary"),
+    ).collect()
+    for r in got:
+        motifs = r.m.split(",")
+        turned = r.s if r.d == "+" else r.s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        runs = scan.find_runs(turned, motifs)
+        assert [tuple(x) for x in r.runs] == scan.find_runs(r.s, motifs)
+        assert r.core == core_length(r.s, motifs, r.d) and r.lus == max((n for _, _, n, _ in runs), default=None)
+        parts, at = [], 0
+        for start, m, n, bp in runs:
+            parts += [turned[at:start].lower(), m if n == 1 else f"[{m}]{n}"]
+            at = start + bp
+        assert r.notation == " ".join(x for x in [*parts, turned[at:].lower()] if x)
+        if runs:
+            assert r.summary == " + ".join(f"{m}x{n}" for _, m, n, _ in runs) + f" (TR {len(r.s)} bp)"
 
 
 def test_labels(spark):
@@ -100,6 +127,18 @@ def test_window_on_a_read(cigar, want):
     assert scan.locate_window(cigar, 0, 100, 148) == want
 
 
+def test_window_column_is_the_walk(spark):
+    rng, rows = random.Random(2), []
+    for _ in range(400):
+        cigar = [(rng.choice([0, 0, 0, 1, 2, 3, 4, 7, 8]), rng.randrange(1, 12)) for _ in range(rng.randrange(0, 9))]
+        start = rng.randrange(0, 40)
+        rows.append((cigar, rng.randrange(0, 20), start, start + rng.randrange(1, 20)))
+    at = window_on_read(F.col("c"), F.col("r"), F.col("a"), F.col("b"))
+    got = spark.createDataFrame(rows, f"c {CIGAR}, r int, a int, b int").select("*", at.alias("at")).collect()
+    assert all((None if g["at"] is None else tuple(g["at"])) == scan.locate_window([(x.op, x.len) for x in g.c], g.r, g.a, g.b) for g in got)
+    assert sum(g["at"] is not None for g in got) > 100
+
+
 def test_edits_against_plain_dynamic_programming():
     def plain(a, b):
         row = list(range(len(b) + 1))
