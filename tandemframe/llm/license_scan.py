@@ -7,6 +7,12 @@ its temperature and the least probability of a family are set on notices it has
 not seen. A family stands only if one of its templates is contained in the
 paragraph. Scoring is one expression over Spark's own functions: a document's
 paragraphs never leave its row.
+
+A paragraph is what lies between blank lines, however it is wrapped; of one of
+several lines each line is judged too, as a notice may stand alone among others.
+Only paragraphs with an anchor are judged. Anchors are derived from the
+templates so that what confirms a family always has one: nothing that could be
+confirmed is passed over.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ import itertools
 import json
 import re
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,17 +45,21 @@ NAMES = {
     "cc-by-sa": ["CC BY-SA 4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"],
     "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0"],
     "public-domain": ["CC0 1.0 Universal", "Creative Commons Zero", "CC0", "the Unlicense", "public domain dedication"],
+    "isc": ["ISC License", "ISC license terms", "ISC software license"],
+    "epl": ["Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "Eclipse Public License v1.0", "EPL-2.0", "EPL-1.0"],
 }
 BODIES = {
     "apache-2.0": ["you may not use this file except in compliance with the License", "You may obtain a copy of the License at apache.org licenses LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"],
-    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "SPDX-License-Identifier: MIT", "licensed under MIT", "released under MIT"],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "SPDX-License-Identifier: MIT", "licensed under MIT", "released under MIT"],
     "gpl-3.0": ["it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "gpl-2.0": ["it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"],
     "lgpl": ["it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
     "agpl-3.0": ["it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "public-domain": ["This is free and unencumbered software released into the public domain", "has waived all copyright and related or neighboring rights to this work"],
+    "public-domain": ["This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary", "has waived all copyright and related or neighboring rights to this work"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "SPDX-License-Identifier: ISC", "licensed under ISC"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License"],
 }
 FRAMES = ["{}", "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "Distributed under the terms of the {}.", "This project is available under the {}.", "SPDX-License-Identifier: {}", "Code is covered by the {}; see LICENSE.", "You can redistribute it under the {}.", "Copyright the authors. {}", "All content here is published under a {} license."]
 LIKE_NOTICES = [
@@ -58,11 +69,11 @@ LIKE_NOTICES = [
     "Creative people have things in common", "The commons are open to the public", "Attribution of the painting is disputed", "Source and binary stars were observed", "A clause of the contract was void", "The terms of the lease were changed", "Licensed plumbers are hard to find", "Licensed under the counter by nobody",
     "The software license fee has doubled", "Our license agreement with the vendor ends soon", "Released under pressure from the press", "He was released under the supervision of a doctor", "This work is licensed by the state board", "Distributed under the bridge", "SPDX is a format for lists", "mit der Lizenz", "released under einem Namen mit", "Copyright und Lizenz mit der Stadt", "Permission is never granted twice",
 ]
-#: A paragraph without one of these words is no notice; in lower case.
-ANCHOR = r"\b(licen[sc]|copyright|spdx|permission is|redistribut|unlicen|gpl|lgpl|agpl|apache|creative commons|cc0|cc[ -]by|mozilla public|public domain|bsd\b|released under (the )?mit\b)"
 #: Least share of a template's 2-grams that the paragraph has.
 CONFIRM = 0.6
 _WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: What separates paragraphs: a line without text, of a comment too.
+BLANK = r"\n[\s*#/;-]*\n"
 
 
 def words_of(text: str) -> list[str]:
@@ -92,14 +103,18 @@ def _softmax(z):
 
 
 def train(seed: int = 5, rounds: int = 300, rate: float = 0.5, l1: float = 2e-4, unseen: int = 4) -> Classifier:
-    """Proximal gradient descent with an l1 penalty; every ``unseen``-th frame of
-    a notice, and every ``unseen``-th look-alike, is left for calibration."""
+    """Proximal gradient descent with an l1 penalty; every ``unseen``-th frame of a
+    notice, every ``unseen``-th look-alike and one form of each text are left for
+    calibration."""
     families = [*NAMES, UNKNOWN]
     rows: list[tuple[str, int, bool]] = []
     for k, (f, names) in enumerate(NAMES.items()):
         for (i, frame), name in itertools.product(enumerate(FRAMES), names):
             rows.append((frame.format(name), k, i % unseen == unseen - 1))
-        rows += [(s, k, False) for s in BODIES.get(f, []) for _ in range(4)]
+        for body in BODIES.get(f, []):
+            w, cut = body.split(), max(1, len(body.split()) // 7)
+            # whole, without its beginning, without its end; calibration sees it as part of a longer paragraph
+            rows += [(body, k, False)] * 2 + [(" ".join(w[cut:] if len(w) > 6 else w), k, False), (" ".join(w[:-cut] if len(w) > 6 else w), k, False), (f"Copyright the author. {body}, subject to what follows", k, True)]
     rows += [(s, len(families) - 1, i % unseen == 0) for i, s in enumerate(LIKE_NOTICES) for _ in range(8)]
     rows += [(frame.format(x), len(families) - 1, i % unseen == 0) for i, frame in enumerate(FRAMES) for x in ("", "city board", "name of the author", "new management", "state office", "house rules", "terms below")]
     vocabulary: dict[str, int] = {}
@@ -142,13 +157,41 @@ def templates() -> list[tuple[str, list[str]]]:
     return out
 
 
+def anchors() -> list[str]:
+    """Words of which every paragraph that confirms a template has one.
+
+    ``CONFIRM`` of a template's n grams are at least one of any n - ceil(CONFIRM n) + 1
+    of them. For each template so many are covered by words: by anchors that
+    another has already, then by telling words before common ones, by the word in
+    most grams, by the longest.
+    """
+    found: set[str] = set()
+    for _, grams in sorted(templates(), key=lambda t: (len(t[1]), t[1])):
+        left = {g: set(g.split()) for g in grams}
+        need = len(left) - ceil(CONFIRM * len(left)) + 1
+        while True:
+            open_ = {g for g, w in left.items() if not w & found}
+            if len(left) - len(open_) >= need:
+                break
+            telling = [w for g in open_ for w in left[g]]
+            found.add(max(sorted(set(telling)), key=lambda w: (any(x in w for x in _TELLING), w not in _COMMON and w.isalpha(), telling.count(w), len(w))))
+    return sorted(found)
+
+
+#: Parts of words that are preferred as anchors, as little else has them, and words that are avoided, as all has them.
+_TELLING = ("licen", "gpl", "copyright", "redistribut", "spdx", "cc-by", "cc0", "permission")
+_COMMON = frozenset("a all an and any are as at be by for general in is it made may not of on or public that the this to under use used version with you".split())
+
+
 def _constant(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def found_licenses(text: Column, model: Classifier) -> Column:
     """array<struct<paragraph int, family, probability, similarity, confirmed>>
-    of the paragraphs (lines) with a license anchor, in order; whole text."""
+    of the paragraphs with an anchor and of their lines, in order; whole text. A
+    paragraph of several lines is left out if one of them names its family, its
+    lines if none is confirmed."""
     weights = _constant(model.grams, "map<string,array<double>>")
     vocabulary = F.array(*map(F.lit, model.grams)) if model.grams else F.array().cast("array<string>")
     known_templates = _constant([{"f": f, "g": g} for f, g in templates()], "array<struct<f:string,g:array<string>>>")
@@ -184,17 +227,36 @@ def found_licenses(text: Column, model: Classifier) -> Column:
 
         return let(words, of_words)
 
-    lines = F.filter(
-        F.transform(F.split(text, "\n"), lambda p, i: F.struct(lower_ascii(p).alias("p"), i.alias("i"))),
-        lambda s: s["p"].rlike(ANCHOR),
-    )
     kind = "array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>"
-    return F.when(text.rlike(f"(?i){ANCHOR}"), F.transform(lines, lambda s: judged(s["p"], s["i"]))).otherwise(F.array().cast(kind))
+    none = F.array().cast(kind)
+    anchored = lambda c: c.rlike(ANCHOR)
+
+    def of_paragraph(p: Column) -> Column:
+        lines = F.filter(F.split(p["p"], "\n"), anchored)
+        by_line = F.filter(F.transform(lines, lambda x: judged(x, p["i"])), lambda x: x["confirmed"])
+
+        def both(own: Column, found: Column) -> Column:
+            named = F.exists(found, lambda x: x["family"] == own["family"])
+            return F.when(F.size(found) == 0, F.array(own)).when(own["confirmed"] & ~named, F.concat(F.array(own), found)).otherwise(found)
+
+        alone = F.array(judged(p["p"], p["i"]))
+        several = let(judged(p["p"], p["i"]), lambda own: let(by_line, lambda found: both(own, found)))
+        return F.when(F.position(F.lit("\n"), p["p"]) > 0, several).otherwise(alone)
+
+    def of_text(t: Column) -> Column:
+        numbered = F.transform(F.split(t, BLANK), lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+        return F.when(anchored(t), F.flatten(F.transform(F.filter(numbered, lambda s: anchored(s["p"])), of_paragraph))).otherwise(none)
+
+    return let(lower_ascii(text), of_text)
+
+
+#: An anchor in lower-case text, as a word or a part of one between dots and hyphens.
+ANCHOR = "(?<![a-z0-9])(?:" + "|".join(map(re.escape, anchors())) + ")(?![a-z0-9])"
 
 
 def license_scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_candidates (paragraphs with a license
-    word), n_licenses (confirmed ones), families (their distinct names, sorted,
+    """One row per input row: doc_id, n_candidates (paragraphs with an anchor),
+    n_licenses (notices confirmed), families (their distinct names, sorted,
     comma-joined), best_family, best_probability, best_similarity, found (all).
 
     The best is the confirmed paragraph of greatest probability, the first on a
@@ -211,7 +273,7 @@ def license_scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     rows = rows.withColumn("best", best)
     return rows.select(
         "doc_id",
-        F.size("found").cast("bigint").alias("n_candidates"),
+        F.size(F.array_distinct(F.transform("found", lambda s: s["paragraph"]))).cast("bigint").alias("n_candidates"),
         F.size("sure").cast("bigint").alias("n_licenses"),
         F.array_join(F.sort_array(F.array_distinct(F.transform("sure", lambda s: s["family"]))), ",").alias("families"),
         F.when(F.col("best").isNotNull(), F.col("best.family")).when(F.size("found") > 0, F.lit(UNKNOWN)).otherwise(F.lit("none")).alias("best_family"),

@@ -461,3 +461,92 @@ def test_license_scan(spark, edge, empty):
     got = {r.doc_id: r for r in license_scan.license_scan(rows, model).collect()}
     assert [got[i].best_family for i in range(len(cases))] == [w for _, w in cases]
     assert license_scan.license_scan(edge, model).count() == edge.count() and license_scan.license_scan(empty, model).count() == 0
+
+
+FULL = {
+    "mit": ["The MIT License (MIT)\n\nCopyright (c) 2021 Jo Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this data and associated documentation files, to deal in it without restriction"],
+    "bsd": ["Copyright 2019 The Authors. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice.",
+            "Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "isc": ["Copyright (c) 2020, Someone\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."],
+    "apache-2.0": ["Copyright 2018 Somebody\n\nLicensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "gpl-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "gpl-2.0": ["This file is part of thing.\nIt is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License."],
+    "agpl-3.0": ["You may copy it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3."],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Released under MPL 2.0."],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "public-domain": ["This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose."],
+}
+
+
+def test_wrapped_license_texts_are_found(spark):
+    """Whole texts with other holders and endings, wrapped and in comments: recall 0.9 and more, none for another family."""
+    import textwrap
+
+    rows, want = [], []
+    for family, given in FULL.items():
+        for text in given:
+            for width in (40, 55, 70, 10_000):
+                for mark in ("", "# ", " * ", "// "):
+                    paragraphs = ["\n".join(mark + x for x in textwrap.wrap(p, width)) for p in text.split("\n\n")]
+                    rows.append((len(rows), "Some code begins.\n\n" + f"\n{mark.rstrip()}\n".join(paragraphs) + "\n\nand goes on for long."))
+                    want.append(family)
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    right = [want[i] in got[i].families.split(",") for i in range(len(rows))]
+    assert np.mean(right) >= 0.9
+    wrong = [f for i in range(len(rows)) for f in got[i].families.split(",") if f and f != want[i]]
+    assert len(wrong) <= 0.05 * len(rows)
+
+
+def test_every_template_has_an_anchor():
+    """Whatever part of a template's grams confirms it, one of its words is an anchor."""
+    import itertools
+    import re
+
+    held = set(license_scan.anchors())
+    for _, grams in license_scan.templates():
+        need = math.ceil(license_scan.CONFIRM * len(grams))
+        without = [g for g in grams if not held & set(g.split())]
+        assert len(without) < need
+    for frame, names in itertools.product(license_scan.FRAMES, license_scan.NAMES.values()):
+        assert all(re.search(license_scan.ANCHOR, lower(frame.format(n))) for n in names)
+
+
+def plain_scan(text, model):
+    """The scan's answer for a text, paragraph by paragraph."""
+    import re
+
+    def judge(t):
+        words = license_scan.words_of(t)
+        grams = license_scan.grams_of(words)
+        z = np.array(model.bias) + sum((np.array(model.grams[g]) for g in grams if g in model.grams), np.zeros(len(model.bias)))
+        e = np.exp(np.clip(z / model.temperature, -50, 50))
+        p = e / e.sum()
+        k = int(p[:-1].argmax())
+        alike = max((len(set(g) & grams) / len(g) for f, g in license_scan.templates() if f == model.families[k]), default=0)
+        return model.families[k] if p[k] >= model.least and alike >= license_scan.CONFIRM else None, p[k]
+
+    found = []
+    for paragraph in re.split(license_scan.BLANK, lower(text)):
+        if not re.search(license_scan.ANCHOR, paragraph):
+            continue
+        lines = paragraph.split("\n")
+        by_line = [j for x in lines if re.search(license_scan.ANCHOR, x) for j in [judge(x)] if j[0]] if len(lines) > 1 else []
+        own = judge(paragraph)
+        if own[0] and own[0] not in [f for f, _ in by_line]:
+            found.append(own)
+        found += by_line
+    return sorted({f for f, _ in found}), max((p for _, p in found), default=0.0), len(found)
+
+
+def test_scan_is_the_plain_scorer(spark):
+    rng, model = np.random.default_rng(4), license_scan.train()
+    pool = [license_scan.FRAMES[i % 14].format(n) for i, n in enumerate(n for v in license_scan.NAMES.values() for n in v)] + license_scan.LIKE_NOTICES
+    pool += [t for v in FULL.values() for x in v for t in x.split("\n\n")] + ["plain words of no meaning", "", "und mit der Zeit", "x" * 5000]
+    rows = [(i, "".join(str(rng.choice(pool)) + str(rng.choice(["\n", "\n\n", " "])) for _ in range(int(rng.integers(1, 9))))) for i in range(150)]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, t in rows:
+        families, best, n = plain_scan(t, model)
+        assert got[i].families == ",".join(families) and got[i].n_licenses == n and got[i].best_probability == pytest.approx(best, abs=1e-6)
+    assert sum(r.n_licenses > 0 for r in got.values()) > 50
