@@ -37,10 +37,10 @@ from . import word_blocks as wb
 from .common import crc_bucket, crc_bucket_py, cut, documents
 
 FOLDS, HELD_OUT = 7, 2
-#: Words whose exchange makes the classes, and classes.
-FREQUENT, CLASSES = 600, 48
+#: Words whose exchange in turn makes the classes, and classes.
+FREQUENT, CLASSES = 2000, 48
 #: Training occurrences from which any other word has a class of its own choice.
-LEAST = 5
+LEAST = 2
 #: Words placed at a time.
 _BATCH = 256
 #: Passes of the exchange, at most.

@@ -427,6 +427,54 @@ def test_words_beyond_the_exchange_find_their_class(spark):
     assert np.allclose((10.0**model.log_next).sum(1), 1) and np.isclose(model.room.sum(), model.tokens + model.distinct + len(model.room))
 
 
+def test_scores_against_a_plain_model(spark):
+    """Counts, placing of every word by the whole likelihood, transitions and scores, recomputed step by step."""
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"{'ab'[(k + i) % 2]}{'xyz' * int(rng.integers(0, 2))}{int(rng.integers(0, 30) * rng.integers(0, 2))}" for k in range(int(rng.integers(0, 25))))) for i in range(70)] + [(900, None), (901, "never seen words here")]
+    frequent, classes, least = 12, 5, 2
+    got = {r.doc_id: r for r in class_lm.class_lm(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), frequent, classes, least).collect()}
+    streams = {i: (t or "").encode().lower().split() for i, t in rows}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for i in train for w in streams[i])
+    top = sorted(counts, key=lambda w: (-counts[w], w))[:frequent]
+    types = class_lm.Types(top)
+    size = types.end + 1
+    pairs = np.zeros((size, size), int)
+    for i in train:
+        path = [types.end, *(types[w] for w in streams[i]), types.end]
+        np.add.at(pairs, (path[:-1], path[1:]), 1)
+    of = class_lm.exchange(pairs, classes)
+    k = int(of.max()) + 1
+    start = {w: int(of[types[w]]) for w in {w for s in streams.values() for w in s}}
+
+    def table(classed):
+        m = np.zeros((k, k))
+        for i in train:
+            path = [k - 1, *(classed[w] for w in streams[i]), k - 1]
+            np.add.at(m, (path[:-1], path[1:]), 1)
+        return m
+
+    def likelihood(m):
+        x = lambda v: float(sum(a * math.log(a) for a in np.ravel(v) if a))
+        return x(m) - x(m.sum(0)) - x(m.sum(1))
+
+    final = dict(start)
+    for w, c in counts.items():
+        if c >= least and w not in top:
+            own = [likelihood(table(start | {w: to})) for to in range(k - 1)]
+            best = int(np.argmax(own))
+            final[w] = best if own[best] > own[start[w]] + 1e-6 else start[w]
+    m = table(final)
+    share = (m.sum(0) + 1 / k) / (m.sum() + 1)
+    step = (m + class_lm.BACK_OFF * share) / (m.sum(1, keepdims=True) + class_lm.BACK_OFF)
+    room = m.sum(0) + np.bincount([*(final[w] for w in counts), k - 1], minlength=k) + 1
+    for i, words in streams.items():
+        path, seen = [k - 1, *(final[w] for w in words), k - 1], [*(counts[w] for w in words), len(train)]
+        score = sum(math.log10(step[a, b] * (c + 1) / room[b]) for a, b, c in zip(path[:-1], path[1:], seen))
+        assert got[i].score == pytest.approx(score, rel=1e-9)
+    assert any(final[w] != start[w] for w in final)
+
+
 def test_placing_is_the_move_of_the_exchange():
     rng = np.random.default_rng(1)
     pairs = rng.integers(0, 30, (9, 9))
