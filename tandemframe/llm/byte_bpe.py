@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_blocks as wb
-from .common import documents
+from .common import buckets, documents
 
 #: Letters and numbers below U+0250, by Unicode category; checked by a test.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -152,7 +152,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, finish, schema: s
         edges = np.concatenate([[0], ends])
         return finish(doc_ids, np.diff(np.concatenate([[0], edges[last]])), ids[where], table.value)
 
-    values = wb.by_bucket(wb.entries(docs, tokenize, wb.buckets_of(spark)), valued)
+    values = wb.by_bucket(wb.entries(docs, tokenize, buckets(docs)), valued)
     return wb.by_block(wb.streams(docs, tokenize), values, (prepare, finished), schema)
 
 

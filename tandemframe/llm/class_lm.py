@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_blocks as wb
-from .common import crc_bucket, crc_bucket_py, cut, documents
+from .common import buckets, crc_bucket, crc_bucket_py, cut, documents
 
 FOLDS, HELD_OUT = 7, 2
 #: Words whose exchange in turn makes the classes, and classes.
@@ -42,7 +42,7 @@ FREQUENT, CLASSES = 2000, 48
 #: Training occurrences from which any other word has a class of its own choice.
 LEAST = 2
 #: Words placed at a time.
-_BATCH = 256
+_BATCH = 1024
 #: Passes of the exchange, at most.
 PASSES = 12
 #: Weight of the class frequencies in a class's transitions.
@@ -145,28 +145,44 @@ def place(m: np.ndarray, r: np.ndarray, q: np.ndarray, own: np.ndarray, k: np.nd
     ``r`` and ``q`` are a word's followers and predecessors by class, ``own`` of
     which the word itself.
     """
-    out = np.array(k)
+    out, m = np.array(k), m.astype(float)
+    rows, cols, diagonal = m.sum(1), m.sum(0), np.diag(m)
     for at in range(0, len(k), _BATCH):
         x, y, o, c = (v[at : at + _BATCH] for v in (r.astype(float), q.astype(float), own.astype(float), k))
         i = np.arange(len(c))
         x[i, c] -= o
         y[i, c] -= o
-        rest = np.repeat(m[None].astype(float), len(c), 0)
-        rest[i, c, :] -= x
-        rest[i, :, c] -= y
-        rest[i, c, c] -= o
-        left, right, fm = rest.sum(2) + y, rest.sum(1) + x, f(rest)
-        row, col = f(rest + x[:, None, :]) - fm, f(rest + y[:, :, None]) - fm
-        d, o = np.diagonal(rest, 0, 1, 2), o[:, None]
-        gain = row.sum(2) - np.diagonal(row, 0, 1, 2) + col.sum(1) - np.diagonal(col, 0, 1, 2) + f(d + x + y + o) - f(d)
-        a, b = x.sum(1)[:, None] + o, y.sum(1)[:, None] + o
-        gain -= f(left + a) - f(left) + f(right + b) - f(right)
+        home = np.eye(len(m))[c]  # the bigrams that go with the word leave its class
+        a, b, o = x.sum(1)[:, None] + o[:, None], y.sum(1)[:, None] + o[:, None], o[:, None]
+        left, right, d = rows - home * a, cols - home * b, diagonal - home * (x + y + o)
+        gain = f(d + x + y + o) - f(d) - f(left + a) + f(left) - f(right + b) + f(right)
+        gain += _grown(m.T, x, y, o, c) + _grown(m, y, x, o, c)
         gain[:, -1] = -np.inf
         best, stays = gain.argmax(1), gain[i, c]
         out[at : at + _BATCH] = np.where(gain[i, best] <= stays + 1e-9 * np.maximum(1.0, np.abs(stays)), c, best)
     return out
 
 
+def _grown(m: np.ndarray, x: np.ndarray, y: np.ndarray, o: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each word (row of ``x``) and class: what f of the bigrams of the class with
+    others grows by as the word's ``x`` join them; only where there are any.
+    ``m[j]`` are the bigrams with class j, from which the word's own are taken first."""
+    out = np.zeros(x.shape)
+    w, j = np.nonzero(x)
+    if not len(w):
+        return out
+    seen, n = m[j], np.arange(len(w))
+    seen[n, c[w]] -= x[w, j]
+    at = j == c[w]
+    seen[at] -= y[w[at]]
+    seen[n[at], j[at]] -= o[w[at], 0]
+    grown = f(seen + x[w, j][:, None]) - f(seen)
+    grown[n, j] = 0
+    first = np.flatnonzero(np.diff(w, prepend=-1))
+    out[w[first]] = np.add.reduceat(grown, first, axis=0)
+    return out
+
+
 @dataclass
 class Model:
     frequent: list[bytes]
@@ -178,7 +194,7 @@ class Model:
     ends: int
 
 
-def vocabulary(counted: DataFrame, frequent: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def vocabulary(counted: DataFrame, frequent: int, parts: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The most frequent words of the training documents (ties: by bytes), with
     their counts, and tokens and distinct words by shape of all words."""
     def of_bucket(f: pd.DataFrame) -> pd.DataFrame:
@@ -198,7 +214,7 @@ def vocabulary(counted: DataFrame, frequent: int) -> tuple[list[bytes], np.ndarr
     # one packed row for each bucket; they meet in a tree, so that the driver sees one
     kind = "bucket int, words binary, counts binary, shapes binary"
     found = counted.groupBy("bucket").applyInPandas(of_bucket, kind)
-    width = max(2, int(wb.buckets_of(counted.sparkSession) ** 0.5))
+    width = max(2, int(parts**0.5))
     for step in (width, 1):
         found = found.withColumn("bucket", F.pmod("bucket", F.lit(step)).cast("int")).groupBy("bucket").applyInPandas(merged, kind)
     rows = found.collect()
@@ -264,11 +280,11 @@ def _path(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return path
 
 
-def later_classes(counted: DataFrame, streamed: DataFrame, words: list[bytes], of: np.ndarray, m: np.ndarray, least: int) -> DataFrame:
+def later_classes(counted: DataFrame, streamed: DataFrame, words: list[bytes], of: np.ndarray, m: np.ndarray, least: int, buckets: int) -> DataFrame:
     """bucket, classes (of its later words, in order), moved (by class, distinct
     words that came less those that left)."""
     spark, k = counted.sparkSession, len(m)
-    buckets, size = wb.buckets_of(spark), 2 * k + 1
+    size = 2 * k + 1
     sent = spark.sparkContext.broadcast((words, of, m))
 
     def valued(found, at):
@@ -371,14 +387,15 @@ def class_pairs(paths: DataFrame, k: int) -> np.ndarray:
 
 def _fitted(docs: DataFrame, frequent: int, classes: int, least: int) -> tuple[Model, DataFrame]:
     """The model, and the documents as streams of classes."""
-    counted = cut(wb.entries(docs, tokenize, wb.buckets_of(docs.sparkSession), _trained), "words")
+    parts = buckets(docs)
+    counted = cut(wb.entries(docs, tokenize, parts, _trained), "words")
     streamed = cut(wb.streams(docs, tokenize), "streams")
-    words, _, by_shape = vocabulary(counted, frequent)
+    words, _, by_shape = vocabulary(counted, frequent, parts)
     pairs = type_pairs(docs, words)
     of = exchange(pairs, classes)
     k = int(of.max()) + 1
     one_hot = np.eye(k)[of]
-    chosen = cut(later_classes(counted, streamed, words, of, one_hot.T @ pairs @ one_hot, least), "classes")
+    chosen = cut(later_classes(counted, streamed, words, of, one_hot.T @ pairs @ one_hot, least, parts), "classes")
     paths = cut(class_streams(counted, streamed, chosen, words, of, least), "paths")
     m = class_pairs(paths, k)
     share = (m.sum(0) + 1 / k) / (m.sum() + 1)

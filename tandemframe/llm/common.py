@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,5 +68,17 @@ def crc_bucket_py(doc_id, mod: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes that the plan of ``df`` knows its files to have; 0 where it knows nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def buckets(docs: DataFrame, each: int = 256 << 20) -> int:
+    """Buckets of some operator's keys: twice the shuffle partitions, and as many
+    more as the input has parts of ``each`` bytes, so that none outgrows a task."""
+    return max(2 * partitions(docs.sparkSession), ceil(input_bytes(docs) / each))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, partitions
+from .common import buckets, cut, documents
 from .components import components
 from .word_blocks import Dictionary, pack, unpack
 
@@ -193,7 +193,7 @@ def _unpacked_ids(data: bytes) -> np.ndarray:
     return np.cumsum((lo.astype(_U) | (hi.astype(_U) << _U(32))).astype(np.int64))
 
 
-def candidate_edges(heads: DataFrame, buckets: int) -> DataFrame:
+def candidate_edges(heads: DataFrame, parts: int) -> DataFrame:
     """u, v: edges that connect the documents of each common key, from (doc_id, keys)."""
 
     def made(frames):
@@ -206,9 +206,9 @@ def candidate_edges(heads: DataFrame, buckets: int) -> DataFrame:
             own = ids[order] != least
             u, v = forest(ids[order][own], least[own])
             if len(u):
-                yield pd.DataFrame({"bucket": [int(u[0] % buckets)], "ids": [_packed_ids(u)], "keys": [b""], "roots": [_packed_ids(v)]})
+                yield pd.DataFrame({"bucket": [int(u[0] % parts)], "ids": [_packed_ids(u)], "keys": [b""], "roots": [_packed_ids(v)]})
             keys, ids = keys[order][first], least[first]
-            of = (keys % _U(buckets)).astype(np.int64)
+            of = (keys % _U(parts)).astype(np.int64)
             order = np.lexsort((ids, of))
             keys, ids, of = keys[order], ids[order], of[order]
             at = np.flatnonzero(np.diff(of, prepend=-1))
@@ -345,7 +345,7 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
     members = cut(classes(signed), "classes")
     heads = members.where("doc_id = class_id").select("class_id", "n", "d1", "d2").distinct()
     with_keys = signed.where("length(keys) > 0").join(heads.withColumnRenamed("class_id", "doc_id").hint("merge"), ["doc_id", "n", "d1", "d2"], "left_semi")
-    edges = candidate_edges(with_keys.select("doc_id", "keys"), 2 * partitions(docs.sparkSession))
+    edges = candidate_edges(with_keys.select("doc_id", "keys"), buckets(docs))
     dealt = components(edges, "candidates")
     clustered = dealt.select(F.col("node").alias("class_id"), F.col("root").alias("cluster"))
     clustered = clustered.unionByName(clustered.select(F.col("cluster").alias("class_id"), "cluster").distinct())

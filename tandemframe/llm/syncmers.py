@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions
+from .common import buckets, documents
 
 #: Anchors of a fingerprint, at most.
 ANCHORS = 64
@@ -23,6 +23,8 @@ _SINGLE = r"฀-๿぀-ヿ㐀-鿿"
 #: Characters of scripts without spaces one by one, else runs without white space, cut at 24.
 TOKEN = f"[{_SINGLE}]|[^\\s{_SINGLE}]{{1,24}}"
 _POSITION_BITS = 24
+#: Ranges of ids that rows are dealt by, at most: each bound is compared with every id.
+RANGES = 4096
 
 
 def let(value: Column, body) -> Column:
@@ -83,14 +85,14 @@ def likeness(a: Column, b: Column, anchors: int = ANCHORS, stray: int = STRAY) -
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(scored)
 
 
-def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], ranges: int) -> DataFrame:
     """``docs`` (doc_id, text and more) with next_<column> of the row that follows
     in the order of (doc_id, text), nulls first; after the last row, the first.
 
     Rows are dealt once, by ranges of ids; a range's first rows are also dealt
     to the range before it. What the driver sees is a number for each range.
     """
-    quantiles = [k / buckets for k in range(1, buckets)]
+    quantiles = [k / ranges for k in range(1, ranges)]
     bounds = docs.agg(F.percentile_approx("doc_id", quantiles, 10_000).alias("q")).first().q if quantiles else None
     bounds = sorted(set(bounds or []))
     bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
@@ -121,14 +123,16 @@ def syncmer_fingerprints(docs: DataFrame, anchors: int = ANCHORS, stray: int = S
 
     The edited text is the text with its last floor(n_chars / 2) code points
     replaced by as many first ones (or all) of the next row's. Null text counts
-    as empty. Of rows that repeat an id the next is by text; the only row of a
+    as empty. Positions count up to 2^24 tokens, those beyond count as that; a
+    fingerprint is a sample of at most ``anchors`` anchors, exact for texts with
+    no more. Of rows that repeat an id the next is by text; the only row of a
     table is its own next. Equal texts have equal fingerprints. An empty table
     gives no rows. Other columns of the input aren't read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    buckets = max(2, min(1024, 2 * partitions(docs.sparkSession)))
-    rows = with_next(rows.withColumn("fp", fingerprint(F.col("text"), anchors)), ["text", "fp"], buckets)
+    ranges = max(2, min(RANGES, buckets(docs, 64 << 20)))
+    rows = with_next(rows.withColumn("fp", fingerprint(F.col("text"), anchors)), ["text", "fp"], ranges)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
