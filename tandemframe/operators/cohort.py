@@ -38,10 +38,10 @@ def tidy(loci: DataFrame, run: dict[str, str] | None = None) -> DataFrame:
     )
 
 
-def genotype(loci: DataFrame) -> Column:
+def genotype(called: Column) -> Column:
     """Labels of the called alleles, three at most: 12 / 14; a dash without any."""
-    labels = F.array_join(F.transform(F.slice("alleles_called", 1, 3), lambda a: a["number_label"]), " / ")
-    return F.when(F.size("alleles_called") > 0, labels).otherwise("–")
+    labels = F.array_join(F.transform(F.slice(called, 1, 3), lambda a: a["number_label"]), " / ")
+    return F.when(F.size(called) > 0, labels).otherwise("–")
 
 
 def status_chip() -> Column:
@@ -63,7 +63,7 @@ def profile_rows(loci: DataFrame) -> DataFrame:
             slots.append(a[field].alias(f"allele{k + 1}_{name}"))
     return loci.select(
         F.col("sample_id").alias("sample"), "marker", "marker_ord", "call_rule", "tri_type", "total_reads", "called_reads", "discarded_reads", "allele_balance",
-        status_chip().alias("status_chip"), worst_severity().alias("worst_severity"), genotype(loci).alias("genotype"), F.array_join(F.transform("flags", lambda f: f["short"]), " ").alias("flags"), *slots,
+        status_chip().alias("status_chip"), worst_severity().alias("worst_severity"), genotype(F.col("alleles_called")).alias("genotype"), F.array_join(F.transform("flags", lambda f: f["short"]), " ").alias("flags"), *slots,
     )
 
 

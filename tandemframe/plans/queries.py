@@ -12,7 +12,8 @@ from ..operators import evidence as E
 from ..operators import interpretation as I
 from ..operators import quality as Q
 from ..params import FLAGS, THRESHOLDS, Settings
-from . import engine, fixtures
+from ..sources import tables
+from . import engine, fixtures, run_queries
 
 PARAMS = Settings()
 
@@ -94,17 +95,9 @@ def _identities(c):
 
 
 def q_identity(spark, d):
-    """Of the first three clusters, as its SQL has it; ``q_identity_all`` has all."""
-    return _identities(_clusters(spark, d).where("cluster_index < 3"))
-
-
-def q_identity_all(spark, d):
     return _identities(_clusters(spark, d))
 
 
-# interpretation
-
-
 def q_fraction_status(spark, d):
     return I.with_fraction(I.named(_clusters(spark, d), fixtures.panel(spark))).withColumn("expected_stutter", F.lit(0.0)).select("sample_id", "marker", "cluster_index", F.round("fraction", 6).alias("fraction"), I.status(PARAMS).alias("status"))
 
@@ -135,7 +128,7 @@ def q_call_profile(spark, d):
 def q_genotype_profile(spark, d):
     """The flagship: a genotype, balance and flags for each sample and marker."""
     rows = _loci(spark, d)
-    return rows.select("sample_id", "marker", C.genotype(rows).alias("genotype"), "call_rule", "total_reads", "called_reads", F.round("allele_balance", 3).alias("allele_balance"), F.array_join(F.array_sort(F.transform("flags", lambda f: f["short"])), ",").alias("flags"))
+    return rows.select("sample_id", "marker", C.genotype(F.col("alleles_called")).alias("genotype"), "call_rule", "total_reads", "called_reads", F.round("allele_balance", 3).alias("allele_balance"), F.array_join(F.array_sort(F.transform("flags", lambda f: f["short"])), ",").alias("flags"))
 
 
 def q_allele_number(spark, d):
@@ -174,9 +167,11 @@ def q_catalog_best_hit(spark, d):
 
 def q_sex_typing(spark, d):
     """Reads of M0 count as X, of M1 as Y: present from three reads on."""
-    g = _gate(spark, d).where("reason is null").groupBy("sample_id").agg(F.count_if(F.col("marker") == "M0").alias("x_reads"), F.count_if((F.col("marker") == "M1") & (F.col("n_units") > 11)).alias("y_reads"))
-    x, y = F.col("x_reads") >= 3, F.col("y_reads") >= 3
-    return g.select("sample_id", "x_reads", "y_reads", F.when(x & y, "heterozygous").when(x | y, "homozygous").otherwise("no_data").alias("call_rule"))
+    sides = F.when(F.col("marker") == "M0", "own").when((F.col("marker") == "M1") & (F.col("n_units") > 11), "y")
+    gate = _gate(spark, d).withColumn("window", sides).where("window is not null or reason is not null").withColumn("marker", F.lit("AMEL"))
+    windows = fixtures.panel(spark).where("marker_ord = 0").withColumns({"name": F.lit("AMEL"), "marker_type": F.lit("amel")})
+    samples = _gate(spark, d).where("reason is null").select("sample_id").distinct()
+    return I.sex_calls(gate, windows, samples).select("sample_id", "x_reads", "y_reads", "call_rule")
 
 
 # cohort
@@ -254,9 +249,8 @@ def q_forward_fill(spark, d):
 
     n = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
     lead = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) == 1
-    sparse = n.withColumn("label", F.when(lead, F.col("n_name")))
-    run = Window.partitionBy("n_regionkey").orderBy("n_nationkey").rowsBetween(Window.unboundedPreceding, 0)
-    return sparse.select("n_nationkey", F.last("label", ignorenulls=True).over(run).alias("header"))
+    sparse = n.withColumn("label", F.when(lead, F.col("n_name")).otherwise(""))
+    return sparse.select("n_nationkey", tables.carried("label", Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("header"))
 
 
 def q_canonical_genotype(spark, d):
@@ -289,15 +283,10 @@ def _units(c):
 
 
 def q_alleles_by_units(spark, d):
-    """Of the first cluster, as its SQL has it; ``q_alleles_by_units_all`` has all."""
-    return _units(_clusters(spark, d).where("cluster_index = 0"))
-
-
-def q_alleles_by_units_all(spark, d):
     return _units(_clusters(spark, d))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
+QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")} | run_queries.QUERIES
 
 _R = "WITH " + fixtures.READS_SQL
 _CLUSTERS = _R + """,
@@ -384,7 +373,7 @@ ORACLE = {
     "q_repeat_summary": _R + """SELECT sequence, concat(array_to_string(list_transform(regexp_extract_all(sequence, '(AGAT)+', 0), lambda x: concat('AGATx', CAST(length(x) // 4 AS VARCHAR))), ' + '), ' (TR ', CAST(length(sequence) AS VARCHAR), ' bp)') AS summary,
       CAST(list_max(list_transform(regexp_extract_all(sequence, '(AGAT)+', 0), lambda x: length(x) // 4)) AS INT) AS lus FROM (SELECT DISTINCT sequence FROM obs)""",
     "q_mode_consensus": _CLUSTERS + "SELECT sample_id, marker, cluster_index, consensus, CAST(n_reads AS INT) AS n_reads, CAST(n_hp1 AS INT) AS n_hp1, CAST(n_hp2 AS INT) AS n_hp2, CAST(n_hp_none AS INT) AS n_hp_none, CAST(n_forward AS INT) AS n_forward, CAST(n_reverse AS INT) AS n_reverse, CAST(n_phase_sets AS INT) AS n_phase_sets FROM clusters",
-    "q_identity": _CLUSTERS + "SELECT a.sample_id, a.marker, a.cluster_index AS i, b.cluster_index AS j, round(1 - levenshtein(a.consensus, b.consensus) / greatest(length(a.consensus), length(b.consensus)), 6) AS identity FROM clusters a JOIN clusters b ON a.sample_id = b.sample_id AND a.marker = b.marker AND a.cluster_index < b.cluster_index AND b.cluster_index < 3",
+    "q_identity": _CLUSTERS + "SELECT a.sample_id, a.marker, a.cluster_index AS i, b.cluster_index AS j, round(1 - levenshtein(a.consensus, b.consensus) / greatest(length(a.consensus), length(b.consensus)), 6) AS identity FROM clusters a JOIN clusters b ON a.sample_id = b.sample_id AND a.marker = b.marker AND a.cluster_index < b.cluster_index",
     "q_fraction_status": _CLUSTERS + "SELECT sample_id, marker, cluster_index, round(n_reads / total, 6) AS fraction, CASE WHEN n_reads / total < 0.02 THEN 'noise' WHEN n_reads / total < 0.10 THEN 'artefact' ELSE 'allele' END AS status FROM clusters",
     "q_expected_stutter": _CLUSTERS + "SELECT sample_id, marker, variant, round(expected, 6) AS expected FROM ex",
     "q_stutter_status": _CLUSTERS + "SELECT sample_id, marker, cluster_index, round(expected, 6) AS expected, status0 AS status FROM st",
@@ -425,8 +414,10 @@ ORACLE = {
     "q_canonical_genotype": """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN concat(p_size, '/', p_size) WHEN p_partkey % 5 = 0 THEN concat(p_size, '/X')
       ELSE concat(least(p_size, p_partkey % 13), '/', greatest(p_size, p_partkey % 13)) END AS genotype FROM part""",
     "q_parameters": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{r.default}', '{r.basis}', true)" for n, r in THRESHOLDS.items()) + ") t(name, value, provenance, is_default)",
-    "q_alleles_by_units": _CLUSTERS + "SELECT sample_id, marker, variant, step, origin, run_copies FROM vs WHERE cluster_index = 0",
+    "q_alleles_by_units": _CLUSTERS + "SELECT sample_id, marker, variant, step, origin, run_copies FROM vs",
     "q_infix_range": _CLUSTERS + "SELECT sample_id, marker, cluster_index, substr(consensus, 21, length(consensus) - 45) AS range_seq, 'ok' AS range_status FROM clusters",
+    "q_cluster_full": _CLUSTERS + "SELECT sample_id, marker, cluster_index, consensus, CASE WHEN n_reads = 1 THEN 'single' ELSE 'poa_native' END AS consensus_method, CAST(n_reads AS INT) AS n_reads, CAST(n_hp1 AS INT) AS n_hp1, CAST(n_hp2 AS INT) AS n_hp2, CAST(n_phase_sets AS INT) AS n_phase_sets FROM clusters",
+    **run_queries.ORACLE, **run_queries.later_oracles(_CLUSTERS, _COHORT),
 }
 
 

@@ -10,7 +10,7 @@ import zipfile
 import zlib
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import PanelError, SourceError
@@ -196,6 +196,12 @@ def read_xlsx(path: str) -> list[list[str]]:
     return rows
 
 
+def carried(name: str, order: Window) -> Column:
+    """The last value up to each row of ``order`` that isn't null or empty: merged cells have it in the first only."""
+    seen = F.col(name)
+    return F.last(F.when(seen != "", seen), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+
+
 def truth_from_cells(spark: SparkSession, rows: list[list[str]]) -> DataFrame:
     """A sheet whose first three rows are marker, technology and field (A1, A2,
     COBERTURA, COB A1, COB A2), merged ones filled to the right; samples below."""
@@ -206,9 +212,8 @@ def truth_from_cells(spark: SparkSession, rows: list[list[str]]) -> DataFrame:
     cells = [(i, j, v.strip()) for i, r in enumerate(rows) for j, v in enumerate(r)]
     df = spark.createDataFrame(cells, "i int, j int, v string")
     head = df.where("i < 3").groupBy("j").pivot("i", [0, 1, 2]).agg(F.first("v")).toDF("j", "m", "t", "f")
-    left = Window.partitionBy(F.lit(0)).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)  # a header is some hundred cells
-    fill = lambda c: F.last(F.when(F.col(c) != "", F.col(c)), ignorenulls=True).over(left)
-    head = head.where("j > 0").select("j", fill("m").alias("marker"), fill("t").alias("technology"), F.upper("f").alias("field"))
+    left = Window.partitionBy(F.lit(0)).orderBy("j")  # a header is some hundred cells
+    head = head.where("j > 0").select("j", carried("m", left).alias("marker"), carried("t", left).alias("technology"), F.upper("f").alias("field"))
     names = df.where("i >= 3 and j = 0 and v <> ''").select("i", F.col("v").alias("sample_id"))
     long = df.where("i >= 3").join(F.broadcast(head), "j").join(names, "i")
     wide = long.groupBy("sample_id", "marker", "technology").pivot("field", ["A1", "A2", "COBERTURA", "COB A1", "COB A2"]).agg(F.first("v"))

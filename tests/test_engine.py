@@ -401,22 +401,3 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["tidy", str(tmp_path / "b/json"), "--out", str(tmp_path / "t")]) == 0 and spark.read.parquet(str(tmp_path / "t")).count() == 3
     assert cli.main(["inspect", str(tmp_path / "none")]) == 2 and cli.main(["doctor", "--bam", path, "--panel", p]) == 0
     assert cli.main(["report", "--bam", path, "--panel", p, "--out", str(tmp_path / "r.html")]) == 0
-
-
-def test_whole_queries_are_their_sql_without_its_rank_cut(spark):
-    import pathlib
-
-    import duckdb
-
-    from tandemframe.plans import queries as Q
-
-    folder = pathlib.Path("/root/testdata/sf0.001")
-    con = duckdb.connect()
-    for path in folder.glob("*.parquet"):
-        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
-    for name, cut in (("q_identity", " AND b.cluster_index < 3"), ("q_alleles_by_units", " WHERE cluster_index = 0")):
-        sql = Q.oracle_sql()[name]
-        assert sql.endswith(cut)
-        want = con.execute(sql.removesuffix(cut)).fetchall()
-        got = [tuple(r) for r in Q.queries()[f"{name}_all"](spark, str(folder)).collect()]
-        assert sorted(got, key=str) == sorted(want, key=str) and len(got) > Q.queries()[name](spark, str(folder)).count(), name
