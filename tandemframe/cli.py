@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +32,12 @@ def _panel(spark: SparkSession, path: str, coords: str = "bed0") -> DataFrame:
     return tables.load_panel_bed(spark, path, coords)[0] if path.endswith(".bed") else tables.load_panel(spark, path)
 
 
-def _reads(spark: SparkSession, paths: list[str], panel: DataFrame, margin: int = P.FETCH_MARGIN) -> DataFrame:
-    """Reads of the panel's windows; a panel's regions are pushed into the source."""
+def _reads(spark: SparkSession, paths: list[str], panel: DataFrame, margin: int = P.FETCH_MARGIN, samples: dict[str, str] | None = None) -> DataFrame:
+    """Reads of the panel's windows in one scan of all files; a panel's regions are
+    pushed into the source. ``samples`` gives the sample id of a path."""
     spans = E.windows(panel).collect()
     regions = ",".join(f"{s.w_chrom}:{max(0, s.start0 - margin)}-{s.end0 + margin}" for s in spans)
-    return spark.read.format("alignments").option("path", ",".join(paths)).option("regions", regions).load()
+    return spark.read.format("alignments").option("path", ",".join(paths)).option("regions", regions).option("samples", json.dumps(samples or {})).load()
 
 
 def _params(args) -> P.Settings:
@@ -117,25 +120,27 @@ def batch(spark, args) -> int:
     """All samples of a manifest in one plan; a file that can't be read fails alone."""
     manifest = tables.load_manifest(spark, args.manifest).collect()
     good, status = [], []
-    for m in manifest:
+    def problem(path: str) -> str:
         try:
-            if tables.detect(m.bam)["kind"] != "bam":
-                raise SourceError(f"{m.bam}: not BAM")
-            tables.validate(spark, m.bam)
-            good.append(m)
-            status.append((m.sample_id, m.role, "ok", ""))
+            if tables.detect(path)["kind"] != "bam":
+                raise SourceError(f"{path}: not BAM")
+            tables.checked_header(path)
         except (TandemError, OSError) as e:
-            status.append((m.sample_id, m.role, "error", str(e)))
+            return str(e)
+        return ""
+
+    with ThreadPoolExecutor(bam.PLANNERS) as pool:  # headers only; no job is run for a file
+        found = list(pool.map(problem, [m.bam for m in manifest]))
+    for m, error in zip(manifest, found, strict=True):
+        status.append((m.sample_id, m.role, "error" if error else "ok", error))
+        good += [] if error else [m]
     out = exports.ensure_folder(args.out)
     states = spark.createDataFrame(status, "sample_id string, role string, status string, error string")
     if good:
         samples = spark.createDataFrame([(m.sample_id,) for m in good], "sample_id string")
         panel = _panel(spark, args.panel)
-        # file names decide the sample here, not the read groups
-        reads = None
-        for m in good:
-            one = _reads(spark, [m.bam], panel).withColumn("sample_id", F.lit(m.sample_id))
-            reads = one if reads is None else reads.unionByName(one)
+        # the manifest decides the sample here, not the read groups
+        reads = _reads(spark, [m.bam for m in good], panel, samples={m.bam: m.sample_id for m in good})
         frames = engine.run(reads, panel, _params(args), samples=samples)
         loci = frames.loci.cache()
         markers = [r.name for r in panel.orderBy("marker_ord").collect()]

@@ -233,12 +233,14 @@ def load_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def detect(path: str) -> dict:
     """kind (bam, cram, fastq, fasta), gzipped, aligned, size; by the first bytes."""
-    if not os.path.exists(path):
+    from .bam import exists, opened
+
+    if not exists(path):
         raise SourceError(f"no such file: {path}")
-    size = os.path.getsize(path)
-    if not size:
-        raise SourceError(f"empty file: {path}")
-    with open(path, "rb") as f:
+    with opened(path) as f:
+        size = f.size()
+        if not size:
+            raise SourceError(f"empty file: {path}")
         head = f.read(1 << 16)
     found = {"gzipped": False, "aligned": None, "size": size}
     if head[:4] == b"CRAM":
@@ -274,15 +276,23 @@ def _first_is_mapped(path: str) -> bool:
         blocks.close()
 
 
-def validate(spark: SparkSession, path: str, sample_reads: int = 10_000) -> dict:
-    """Read groups with sample names (fatal), contigs, upper median MAPQ of the mapped among the first reads."""
-    from ..functions.stats import upper_median
-    from .bam import header, read_groups, register
+def checked_header(path: str) -> tuple[list[dict[str, str]], list[tuple[str, int]]]:
+    """(read groups, contigs); a read group without sample name is an error."""
+    from .bam import header, read_groups
 
     text, refs = header(path)
     groups = read_groups(text)
     if not groups or any(not g.get("SM") for g in groups):
         raise SourceError(f"{path}: every read group needs a sample name")
+    return groups, refs
+
+
+def validate(spark: SparkSession, path: str, sample_reads: int = 10_000) -> dict:
+    """Read groups with sample names (fatal), contigs, upper median MAPQ of the mapped among the first reads."""
+    from ..functions.stats import upper_median
+    from .bam import register
+
+    groups, refs = checked_header(path)
     register(spark)
     first = spark.read.format("alignments").option("path", path).load().select("read_ord", "flag", "mapq").orderBy("read_ord").limit(sample_reads)
     row = first.where(F.col("flag").bitwiseAND(F.lit(4)) == 0).agg(upper_median(F.collect_list("mapq")).alias("m"), F.count(F.lit(1)).alias("n")).first()

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -67,6 +68,37 @@ def test_source_splits_see_every_record_once(spark, tmp_path):
     assert sorted(names) == sorted(r["qname"] for r in records)
 
 
+def test_index_reads_only_what_regions_touch(spark, tmp_path):
+    rng = random.Random(4)
+    starts = sorted(rng.randrange(0, 3_000_000) for _ in range(3000))
+    rows = [record(f"r{i}", 8 + i % 9) | {"ref_start": s} for i, s in enumerate(starts)]
+    rows += [record(f"z{i}", 12) | {"chrom": "chr2", "ref_start": 400 * i} for i in range(200)]
+    path = str(tmp_path / "wide.bam")
+    bam.write_bam(path, [("chr1", 4_000_000), ("chr2", 100_000)], rows, "@RG\tID:a\tSM:wide\n")
+    for regions in ("chr1:1000000-1000100", "chr1:5-9,chr1:16380-16390,chr2:40000-40400", "chr2:99000-99001", "chr1:2999000-4000000"):
+        want = {(r.read_ord, r.qname) for r in read(spark, path, regions=regions).collect()}
+        bam.write_index(path)
+        planned = bam.AlignmentReader({"path": path, "regions": regions}, read(spark, path).schema).partitions()
+        assert {(r.read_ord, r.qname) for r in read(spark, path, regions=regions).collect()} == want
+        assert {(r.read_ord, r.qname) for r in read(spark, path, regions=regions, splitBytes=1).collect()} == want
+        touched = sum((b >> 16) - (a >> 16) for p in planned for a, b in p.ranges)
+        assert len(planned) <= 1 and touched < 0.5 * (tmp_path / "wide.bam").stat().st_size
+        (tmp_path / "wide.bam.bai").unlink()
+    bam.write_index(path)
+    assert read(spark, path).where("chrom = 'chr2'").count() == 200
+    assert {r.sample_id for r in read(spark, f"file://{path}", regions="chr2:0-900", samples=json.dumps({f"file://{path}": "other"})).collect()} == {"other"}
+
+
+def test_a_thousand_files_are_one_scan(spark, tmp_path, panel):
+    from tandemframe import cli
+
+    paths = [cohort_file(tmp_path, [record(f"q{k}", 12)], f"f{k}") for k in range(40)]
+    bam.register(spark)
+    reads = cli._reads(spark, paths, panel, samples={p: f"S{k}" for k, p in enumerate(paths)})
+    assert reads._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 1
+    assert {r.sample_id for r in reads.collect()} == {f"S{k}" for k in range(40)}
+
+
 def test_detect_and_validate(spark, tmp_path):
     path = cohort_file(tmp_path, het())
     assert tables.detect(path) | {"size": 0} == {"kind": "bam", "gzipped": True, "aligned": True, "size": 0}
