@@ -139,12 +139,20 @@ def called_long(summary: DataFrame, markers: list[str]) -> DataFrame:
     return long.select(canonical_sample_id(F.col("sample_id")).alias("sample_id"), "marker", canonical_genotype(F.split(F.coalesce("cell", F.lit("")), ",")).alias("called"))
 
 
+def called_genotypes(loci: DataFrame) -> DataFrame:
+    """sample_id, marker, called genotype, as ``called_long`` has them from a summary."""
+    labels = F.transform("alleles_called", lambda a: a["number_label"])
+    return loci.select(canonical_sample_id(F.col("sample_id")).alias("sample_id"), "marker", canonical_genotype(labels).alias("called"))
+
+
 def compare(called: DataFrame, truth: DataFrame, technology: str = "ILLUMINA") -> DataFrame:
     """A verdict for each truth genotype of the samples that were run: no_call before no_truth before match."""
     wanted = truth.where(F.col("technology") == technology) if technology else truth
     wanted = wanted.select(canonical_sample_id(F.col("sample_id")).alias("sample_id"), "marker", canonical_genotype(F.array("allele1", "allele2")).alias("truth"))
-    run = called.select("sample_id").distinct()
-    rows = wanted.join(run, "sample_id", "left_semi").join(called, ["sample_id", "marker"], "left")
+    # a sample's calls are a row, no longer than the panel: who was run and what was called come from one join
+    run = called.groupBy("sample_id").agg(F.collect_list(F.struct("marker", "called")).alias("calls"))
+    own = F.filter("calls", lambda c: c["marker"] == F.col("marker"))
+    rows = wanted.join(run, "sample_id").select("sample_id", "marker", "truth", F.explode_outer(own).alias("call")).select("sample_id", "marker", "truth", F.col("call.called").alias("called"))
     empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
     verdict = F.when(empty("called"), "no_call").when(empty("truth"), "no_truth").when(F.col("called") == F.col("truth"), "match").otherwise("mismatch")
     return rows.withColumn("verdict", verdict)
@@ -171,22 +179,26 @@ def discordances(compared: DataFrame, k: int | None = None) -> DataFrame:
 
 def stutter_observations(alleles: DataFrame) -> DataFrame:
     """Reads one and two repeats below and one above each usable called allele,
-    zeros included; loci whose called cores lie within three repeats are left out."""
+    zeros included; loci whose called cores lie within three repeats are left out.
+
+    All of it is windows by locus, which the alleles are dealt by already.
+    """
     period = F.when(F.col("period") > 0, F.col("period")).otherwise(4)
     rows = alleles.where(F.coalesce("motif", F.lit("")) != "").withColumns({
         "core": S.repeat_core_length(F.col("consensus"), F.col("motif"), F.col("marker_strand")), "unit": period,
         "lus": S.lus_units(F.col("consensus"), F.col("motif"), F.col("marker_strand")),
     }).where("core is not null")
-    at_core = rows.groupBy(*LOCUS, "core").agg(F.sum("n_reads").alias("reads"))
-    order = Window.partitionBy(*LOCUS).orderBy("core", "cluster_index")
-    parents = rows.where("is_called").withColumn("gap", F.col("core") - F.lag("core").over(order))
-    closest = F.min("gap").over(Window.partitionBy(*LOCUS))
-    parents = parents.withColumn("closest", closest).where(F.col("closest").isNull() | (F.col("closest") >= P.CALIBRATION_SEPARATION * F.col("unit")))
-    parents = parents.join(at_core.withColumnRenamed("reads", "parent_reads"), [*LOCUS, "core"]).where(F.col("parent_reads") >= P.CALIBRATION_PARENT_READS)
-    stepped = parents.withColumn("step", F.explode(F.array(*map(F.lit, P.STUTTER_STEPS)))).withColumn("target", F.col("core") + F.col("step") * F.col("unit"))
-    below = at_core.select(*LOCUS, F.col("core").alias("target"), F.col("reads").alias("stutter_reads"))
-    found = stepped.join(below, [*LOCUS, "target"], "left")
-    return found.select(*LOCUS, "cluster_index", "step", "lus", "parent_reads", F.coalesce("stutter_reads", F.lit(0)).alias("stutter_reads"))
+    locus = Window.partitionBy(*LOCUS)
+    rows = rows.withColumns({
+        "cores": F.collect_list(F.struct("core", F.col("n_reads").cast("long").alias("n"))).over(locus),
+        "called_cores": F.sort_array(F.collect_list(F.when(F.col("is_called"), F.col("core"))).over(locus)),
+    }).where("is_called")
+    at = lambda core: F.aggregate(F.filter("cores", lambda c: c["core"] == core), F.lit(0).cast("long"), lambda a, c: a + c["n"])
+    gaps = F.zip_with(F.slice("called_cores", F.lit(2), F.size("called_cores")), F.slice("called_cores", F.lit(1), F.size("called_cores") - 1), lambda b, a: b - a)
+    rows = rows.withColumns({"closest": F.array_min(gaps), "parent_reads": at(F.col("core"))})
+    rows = rows.where((F.col("closest").isNull() | (F.col("closest") >= P.CALIBRATION_SEPARATION * F.col("unit"))) & (F.col("parent_reads") >= P.CALIBRATION_PARENT_READS))
+    stepped = rows.withColumn("step", F.explode(F.array(*map(F.lit, P.STUTTER_STEPS))))
+    return stepped.select(*LOCUS, "cluster_index", "step", "lus", "parent_reads", at(F.col("core") + F.col("step") * F.col("unit")).alias("stutter_reads"))
 
 
 def stutter_summary(obs: DataFrame) -> DataFrame:
@@ -199,19 +211,27 @@ def stutter_summary(obs: DataFrame) -> DataFrame:
 
 
 def stutter_fit(obs: DataFrame, least: int = P.CALIBRATION_BIN) -> DataFrame:
-    """One row: weighted least squares of log(ratio) on LUS at step -1, and step factors."""
-    one = obs.where("step = -1")
-    bins = one.groupBy("lus").agg(F.count(F.lit(1)).alias("n"), F.sum("parent_reads").cast("double").alias("w"), stats.pooled_ratio(F.col("stutter_reads"), F.col("parent_reads")).alias("ratio"))
-    bins = bins.where((F.col("n") >= least) & (F.col("ratio") > 0)).withColumn("y", F.log("ratio"))
-    x, y, w = F.col("lus").cast("double"), F.col("y"), F.col("w")
-    sums = bins.agg(F.count(F.lit(1)).alias("bins"), F.min("lus").alias("lus_min"), F.max("lus").alias("lus_max"), F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"), F.sum(w * y * y).alias("syy"))
+    """One row: weighted least squares of log(ratio) on LUS at step -1, and step
+    factors; sums by step and LUS, then sums of those."""
+    one = F.col("step") == -1
+    first = F.row_number().over(Window.partitionBy(*LOCUS, "step").orderBy("cluster_index")) == 1
+    bins = obs.withColumn("first", one & first).groupBy("step", "lus").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("parent_reads").cast("double").alias("w"), F.sum("stutter_reads").cast("double").alias("q"), F.count_if("first").alias("loci"),
+    )
+    usable = one & (F.col("n") >= least) & (F.coalesce(F.try_divide(F.col("q"), F.col("w")), F.lit(0.0)) > 0)
+    x, y, w = F.col("lus").cast("double"), F.log(F.col("q") / F.col("w")), F.col("w")
+    of = lambda v: F.sum(F.when(usable, v))
+    ratio = lambda k: F.try_divide(F.sum(F.when(F.col("step") == k, F.col("q"))), F.sum(F.when(F.col("step") == k, F.col("w"))))
+    line = bins.agg(
+        F.count_if(usable).alias("bins"), F.min(F.when(usable, F.col("lus"))).alias("lus_min"), F.max(F.when(usable, F.col("lus"))).alias("lus_max"),
+        of(w).alias("sw"), of(w * x).alias("sx"), of(w * y).alias("sy"), of(w * x * x).alias("sxx"), of(w * x * y).alias("sxy"), of(w * y * y).alias("syy"),
+        *(F.coalesce(F.try_divide(ratio(k), ratio(-1)), F.lit(0.0)).alias(n) for k, n in ((-1, "f_minus1"), (-2, "f_minus2"), (1, "f_plus1"))),
+        F.coalesce(F.sum(F.when(one, F.col("n"))), F.lit(0)).alias("n_observations"), F.coalesce(F.sum("loci"), F.lit(0)).alias("n_loci"),
+    )
     mx, my = F.col("sx") / F.col("sw"), F.col("sy") / F.col("sw")
     cxx, cxy, cyy = F.col("sxx") - F.col("sw") * mx * mx, F.col("sxy") - F.col("sw") * mx * my, F.col("syy") - F.col("sw") * my * my
-    slope = F.when(cxx > 0, cxy / cxx)
-    line = sums.withColumn("slope", slope).withColumns({"intercept": my - F.col("slope") * mx, "r2": F.when(cyy > 0, 1 - (cyy - F.col("slope") * cxy) / cyy)})
-    ratio = lambda k: F.try_divide(F.sum(F.when(F.col("step") == k, F.col("stutter_reads"))), F.sum(F.when(F.col("step") == k, F.col("parent_reads"))))
-    steps = obs.agg(*(F.coalesce(F.try_divide(ratio(k), ratio(-1)), F.lit(0.0)).alias(n) for k, n in ((-1, "f_minus1"), (-2, "f_minus2"), (1, "f_plus1"))), F.count_if(F.col("step") == -1).alias("n_observations"), F.count_distinct(F.when(F.col("step") == -1, F.struct(*LOCUS))).alias("n_loci"))
-    return line.crossJoin(F.broadcast(steps)).select(
+    line = line.withColumn("slope", F.when(cxx > 0, cxy / cxx)).withColumns({"intercept": my - F.col("slope") * mx, "r2": F.when(cyy > 0, 1 - (cyy - F.col("slope") * cxy) / cyy)})
+    return line.select(
         "bins", "lus_min", "lus_max", F.bround("intercept", 4).alias("log_intercept"), F.bround("slope", 4).alias("log_slope"), F.bround("r2", 3).alias("r_squared"),
         *(F.bround(c, 3).alias(c) for c in ("f_minus1", "f_minus2", "f_plus1")), "n_observations", "n_loci",
     )

@@ -113,12 +113,13 @@ def gated(reads: DataFrame, panel: DataFrame, params: Settings) -> DataFrame:
 
 
 def funnel(gate: DataFrame, keys=("sample_id", "marker")) -> DataFrame:
-    """Reads by reject reason, zeros included, with ``kept`` beside the reasons."""
-    spark = gate.sparkSession
-    reasons = spark.range(1).select(F.posexplode(F.array(*map(F.lit, ("kept", *REASONS)))).alias("reason_ord", "reason"))
-    counts = gate.groupBy(*keys, F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-    loci = gate.select(*keys).distinct()
-    return loci.crossJoin(F.broadcast(reasons)).join(counts, [*keys, "reason"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """Reads by reject reason, zeros included, with ``kept`` beside the reasons:
+    one aggregate, whose columns become rows."""
+    names = ("kept", *REASONS)
+    reason = F.coalesce("reason", F.lit("kept"))
+    counts = gate.groupBy(*keys).agg(*(F.count_if(reason == r).alias(f"_{k}") for k, r in enumerate(names)))
+    told = F.array(*(F.struct(F.lit(k).alias("reason_ord"), F.lit(r).alias("reason"), F.col(f"_{k}").alias("n")) for k, r in enumerate(names)))
+    return counts.select(*keys, F.explode(told).alias("f")).select(*keys, "f.*")
 
 
 def observations(gate: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import pathlib
 import re
 
+import pytest
+
 import __spark_entry__ as entry
 
 ROOT = pathlib.Path(entry.__file__).parent
@@ -25,3 +27,9 @@ def test_one_exchange_from_scan_to_genotype(spark):
     df = entry.queries()["q_genotype_profile"](spark, entry.SMOKE_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"\bExchange\b", plan)) == 1 and plan.count("FileScan") == 1 and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize(("name", "most", "scans"), [("q_stutter_fit", 4, 1), ("q_concordance_rollup", 5, 2), ("q_reject_funnel", 2, 1)])
+def test_exchanges_of_cohort_queries(spark, name, most, scans):
+    plan = entry.queries()[name](spark, entry.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange\b", plan)) <= most and plan.count("FileScan") == scans
