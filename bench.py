@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 HEADLINE = [
     "q_genotype_profile", "q_reject_funnel", "q_range_join_windows", "q_core_length_bins", "q_mode_consensus", "q_expected_stutter", "q_phantom_suppress", "q_flag_census", "q_tidy",
-    "q_cohort_margins", "q_concordance_rollup", "q_stutter_fit", "q_catalog_best_hit", "q_cluster_full",
+    "q_cohort_margins", "q_concordance_rollup", "q_stutter_fit", "q_catalog_best_hit", "q_cluster_full", "q_run_loci",
 ]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import os
 import sys
 from concurrent.futures import ThreadPoolExecutor
@@ -15,6 +16,7 @@ from . import params as P
 from .errors import SourceError, TandemError
 from .operators import cohort as C
 from .operators import evidence as E
+from .operators import interpretation as I
 from .operators import quality as Q
 from .operators.consensus import Backend
 from .plans import engine
@@ -54,17 +56,27 @@ def _run(spark, args, paths, samples=None, params=None) -> tuple[engine.RunFrame
 
 
 def interpret(spark, args) -> int:
-    frames, _ = _run(spark, args, [args.bam])
+    frames, panel = _run(spark, args, [args.bam])
     print(_params(args).text())
     for r in C.profile_rows(frames.loci).orderBy("sample", "marker_ord").toLocalIterator():
         print(f"{r.sample}\t{r.marker}\t{r.genotype}\t{r.call_rule}\t{r.called_reads}/{r.total_reads}\t{r.flags}")
     if args.trace:
         report.write_traces(report.trace(frames.alleles, E.funnel(frames.gate)), args.trace)
+    for r in I.naming_fallbacks(frames.alleles).where("level = 'warning'").toLocalIterator():
+        logging.getLogger("tandemframe").warning("a called number is not the naming tool's", extra=r.asDict())
     if args.out:
-        exports.write_json(exports.run_records(frames.loci, frames.alleles), args.out)
+        exports.write_json(_records(frames, panel, args, _params(args)), args.out)
+        if args.pretty:
+            exports.write_pretty(spark.read.json(args.out), args.pretty)
     return 0
 
 
+def _records(frames, panel, args, params) -> DataFrame:
+    """Run records with the marker definitions, thresholds, audit, and digests of what was read."""
+    inputs = [(role, path, Q.file_sha256(path)) for role, path in (("bam", args.bam), ("panel", args.panel), ("catalog", getattr(args, "catalog", None))) if path and os.path.exists(path)]
+    return exports.run_records(frames.loci, frames.alleles, {"run_id": "", "poa_backend": Backend.name}, panel, params, inputs)
+
+
 def evidence(spark, args) -> int:
     frames, _ = _run(spark, args, [args.bam])
     exports.write_csv(exports.evidence_table(frames.alleles), args.out)
@@ -76,7 +88,7 @@ def export(spark, args) -> int:
     out = exports.ensure_folder(args.out)
     kinds = args.formats.split(",")
     if "json" in kinds:
-        exports.write_json(exports.run_records(frames.loci, frames.alleles), f"{out}/json")
+        exports.write_json(_records(frames, panel, args, P.Settings()), f"{out}/json")
     if "csv" in kinds:
         exports.write_csv(exports.profile_table(frames.loci, panel), f"{out}/profile")
         exports.write_csv(exports.evidence_table(frames.alleles), f"{out}/evidence")
@@ -146,7 +158,7 @@ def batch(spark, args) -> int:
         markers = [r.name for r in panel.orderBy("marker_ord").collect()]
         exports.write_csv(states.join(C.batch_summary(loci, markers), "sample_id", "left").orderBy("sample_id").coalesce(1), f"{out}/batch_summary")
         exports.write_tidy(C.tidy(loci), f"{out}/tidy")
-        exports.write_json(exports.run_records(loci, frames.alleles), f"{out}/json")
+        exports.write_json(exports.run_records(loci, frames.alleles, panel=panel, params=_params(args)), f"{out}/json")
         if len(good) >= 2:
             exports.write_xlsx(f"{out}/cohort.xlsx", exports.cohort_sheets(loci))
             with open(f"{out}/cohort.html", "w", encoding="utf-8") as f:
@@ -176,10 +188,9 @@ def doctor(spark, args) -> int:
         print(f"{name}\t{'yes' if __import__('importlib.util').util.find_spec(name) else 'missing'}")
     if args.bam and args.panel:
         panel = _panel(spark, args.panel)
-        contigs = {n for n, _ in bam.header(args.bam)[1]}
-        lost = sorted({r.chromosome for r in panel.select("chromosome").distinct().collect()} - contigs)
-        if lost:
-            print(f"contigs that the file lacks\t{','.join(lost)}\tother prefix: {any(c.removeprefix('chr') in contigs or f'chr{c}' in contigs for c in lost)}")
+        contigs = spark.createDataFrame([(n,) for n, _ in bam.header(args.bam)[1]], "name string")
+        for r in tables.missing_contigs(panel, contigs).orderBy("chromosome").collect():
+            print(f"contig that the file lacks\t{r.chromosome}\tother prefix: {r.other_prefix}")
         gate = E.gated(_reads(spark, [args.bam], panel), panel, P.Settings())
         low = P.Settings()["min_mapq"]
         per = gate.groupBy("marker", "marker_ord").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("mapq") >= low).alias("n"), F.count_if(F.col("hp").isNotNull()).alias("hp"), F.count_distinct("ps").alias("ps"))
@@ -263,6 +274,7 @@ def parser() -> argparse.ArgumentParser:
     command("inspect", inspect, "path")
     c = tuned(inputs(command("interpret", interpret)))
     c.add_argument("--out")
+    c.add_argument("--pretty")
     c.add_argument("--trace")
     inputs(command("evidence", evidence)).add_argument("--out", required=True)
     c = inputs(command("export", export))

@@ -43,6 +43,44 @@ class NoBackend(Backend):
         raise NotImplementedError
 
 
+class Abpoa(Backend):
+    """The public library pyabpoa, where it is installed."""
+
+    name = "poa_abpoa"
+
+    def __init__(self):
+        import pyabpoa
+
+        self.aligner = pyabpoa.msa_aligner()
+
+    def consensus(self, seqs: list[str]) -> str:
+        return self.aligner.msa(seqs, out_cons=True, out_msa=False).cons_seq[0]
+
+
+class Spoa(Backend):
+    """The public library spoa, where it is installed; global alignment."""
+
+    name = "poa_spoa"
+
+    def __init__(self):
+        import spoa
+
+        self.poa = spoa.poa
+
+    def consensus(self, seqs: list[str]) -> str:
+        return self.poa(seqs, algorithm=1, genmsa=False)[0]
+
+
+def preferred(kinds: tuple[type[Backend], ...] = (Abpoa, Spoa, Backend)) -> Backend:
+    """The first of ``kinds`` that can be made; one that is never there comes last."""
+    for kind in kinds:
+        try:
+            return kind()
+        except ImportError:
+            continue
+    return NoBackend()
+
+
 class Graph:
     def __init__(self, seq: str, weight: int):
         self.bases: list[str] = []

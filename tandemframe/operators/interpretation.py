@@ -62,6 +62,16 @@ def named(clusters: DataFrame, panel: DataFrame, ranges: DataFrame | None = None
     return numbered(rows)
 
 
+def naming_fallbacks(alleles: DataFrame) -> DataFrame:
+    """Alleles whose number isn't the naming tool's, and why: a warning where the
+    allele is called, as a reported number rests on it, else news for debugging.
+    Markers without a reporting range never have one and aren't told."""
+    status = F.coalesce("strnaming_status", F.lit(""))
+    return alleles.where(~status.isin("", "ok", "no_range")).select(
+        *LOCUS, "cluster_index", status.alias("reason"), F.when(F.col("is_called"), "warning").otherwise("debug").alias("level"), "n_reads", "length_bp", "consensus_method", "number_method",
+    )
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     chosen = S.allele_number(F.col("strnaming_ce"), F.col("allele_numeric"), F.col("allele_numeric_source"), F.col("ce"), F.col("length_bp"))
     rows = rows.withColumn("_c", chosen).withColumns({"number": F.col("_c.number"), "number_method": F.col("_c.method")}).drop("_c")

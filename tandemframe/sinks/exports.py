@@ -15,23 +15,58 @@ from ..errors import ReportError
 from ..operators import cohort as C
 from ..operators import quality as Q
 from ..operators.sizes import sent
+from ..params import Settings
 
 LOCUS = ("sample_id", "marker")
 
 
-def run_records(loci: DataFrame, alleles: DataFrame, run: dict[str, str] | None = None) -> DataFrame:
-    """One nested record for each sample: meta, summary, QC, results with alleles."""
+def run_records(
+    loci: DataFrame, alleles: DataFrame, run: dict[str, str] | None = None, panel: DataFrame | None = None, params: Settings | None = None, inputs: list[tuple[str, str, str]] | None = None,
+) -> DataFrame:
+    """One nested record for each sample: meta, summary, QC, audit, results with alleles.
+
+    With ``panel`` each result has its marker's definition, with ``params`` its
+    thresholds, and the record the audit of its flags; ``inputs`` are (role,
+    path, digest) of the files that the run was made from.
+    """
     run = run or {}
     evidence = alleles.groupBy(*LOCUS).agg(F.array_sort(F.collect_list(F.struct(
         "cluster_index", "status", "isfg", "repeat_label", "number", "number_label", "number_method", "consensus", "length_bp", "bp_diff", "n_reads", "n_hp1", "n_hp2", "n_hp_none", "n_forward", "n_reverse",
         F.bround("mean_qual", 2).alias("mean_qual"), F.bround("expected_stutter", 3).alias("expected_stutter"), F.bround("fraction", 4).alias("fraction"), "is_called",
     ))).alias("alleles"))
-    results = loci.join(evidence, list(LOCUS), "left").groupBy("sample_id").agg(
-        F.array_sort(F.collect_list(F.struct("marker_ord", "marker", "call_rule", "tri_type", "total_reads", "called_reads", "discarded_reads", "allele_balance", "alleles_called", "alleles", "flags"))).alias("results"),
-        F.struct(F.count(F.lit(1)).alias("n_markers"), F.count_if(F.col("call_rule") != "no_data").alias("n_called"), F.count_if(F.col("call_rule") == "homozygous").alias("n_homozygous"), F.count_if(F.col("call_rule") == "heterozygous").alias("n_heterozygous"), F.count_if(F.size("flags") > 0).alias("n_flagged")).alias("summary"),
+    rows = loci.join(evidence, list(LOCUS), "left").join(C.sequence_panel(alleles).withColumnRenamed("rows", "ngs_panel"), list(LOCUS), "left")
+    fields = ["marker_ord", "marker", "call_rule", "tri_type", "total_reads", "called_reads", "discarded_reads", "allele_balance", "alleles_called", "alleles", "flags", "ngs_panel"]
+    if panel is not None:
+        system = F.struct(*(F.col(c) for c in _SYSTEM))
+        rows = rows.join(sent(panel.select(F.col("name").alias("marker"), system.alias("system")), panel), "marker", "left")
+        fields.append("system")
+    if params is not None:
+        rows = rows.withColumn("thresholds", F.struct(*(F.lit(params[n]).alias(n) for n in ("analytical_thresh", "calling_thresh"))))
+        fields.append("thresholds")
+    called = lambda rule: F.count_if(F.col("call_rule") == rule)
+    results = rows.groupBy("sample_id").agg(
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("results"),
+        F.struct(
+            F.count(F.lit(1)).alias("n_markers"), (F.count(F.lit(1)) - called("no_data")).alias("n_called"), called("homozygous").alias("n_homozygous"), called("heterozygous").alias("n_heterozygous"),
+            F.count_if(F.size("flags") > 0).alias("n_flagged"), F.sum(F.size("flags")).alias("n_flags"),
+        ).alias("summary"),
         F.struct(F.avg("total_reads").alias("mean_reads"), F.min("total_reads").alias("min_reads"), F.max("total_reads").alias("max_reads")).alias("qc"),
     )
-    return results.select(F.lit("2.0").alias("schema_version"), "sample_id", F.struct(*(F.lit(v).alias(k) for k, v in run.items())).alias("meta") if run else F.lit(None).cast("struct<run_id:string>").alias("meta"), "summary", "qc", "results")
+    meta = F.struct(*(F.lit(v).alias(k) for k, v in run.items())) if run else F.lit(None).cast("struct<run_id:string>")
+    files = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("role", "path", "sha256"), given, strict=True))) for given in inputs or [])).cast("array<struct<role:string,path:string,sha256:string>>")
+    records = results.withColumns({"schema_version": F.lit("2.0"), "meta": meta, "inputs": files})
+    shown = ["schema_version", "sample_id", "meta", "inputs", "summary", "qc", "results"]
+    if params is not None:
+        audit = Q.audit_frame(loci, params, run.get("poa_backend", "poa_native"), run.get("stutter_model", "default"), run.get("run_id", ""))
+        records = records.join(audit.select("sample_id", F.struct(*(c for c in audit.columns if c != "sample_id")).alias("audit")), "sample_id", "left")
+        shown.insert(-1, "audit")
+    return records.select(*shown)
+
+
+#: What a record tells of a marker's definition.
+_SYSTEM = (
+    "codis_name", "chromosome", "ref_start", "ref_end", "motif", "period", "corr_value", "reference_ce", "allele_bp_step", "category", "strand", "marker_type", "allow_triallelic",
+)
 
 
 def write_json(records: DataFrame, path: str) -> None:
@@ -39,6 +74,15 @@ def write_json(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)
 
 
+def write_pretty(records: DataFrame, folder: str) -> None:
+    """A file for each sample, indented, for people; streamed to the driver one by one."""
+    out = ensure_folder(folder)
+    for name, text in ((r.sample_id, r.text) for r in records.select("sample_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("text")).toLocalIterator()):
+        with open(os.path.join(out, f"{re.sub(r'[^A-Za-z0-9._-]', '_', name)}.json"), "w", encoding="utf-8") as f:
+            json.dump(json.loads(text), f, indent=2, ensure_ascii=False)
+            f.write("\n")
+
+
 def profile_table(loci: DataFrame, panel: DataFrame) -> DataFrame:
     where = sent(panel.select(F.col("name").alias("marker"), F.col("chromosome").alias("chrom"), "ref_start", "ref_end", "motif"), panel)
     rows = C.profile_rows(loci).join(where, "marker")

@@ -128,6 +128,27 @@ def load_ranges(spark: SparkSession, path: str) -> DataFrame:
     })
 
 
+def load_range_table(spark: SparkSession, path: str) -> DataFrame:
+    """A naming tool's own range table (name, chromosome, start, end, ref_ce,
+    options; tab-separated, a header line): what ``build_ranges`` takes as known.
+    A start above its end is a range on the minus strand."""
+    kind = "name string, chromosome string, start int, end int, ref_ce double, options string"
+    rows = spark.read.option("sep", "\t").option("header", True).schema(kind).csv(path).where("name is not null and trim(name) <> ''")
+    if rows.where("start is null or end is null").head() is not None:
+        raise PanelError(f"{path}: a range without start or end")
+    return rows.withColumns({"options": F.coalesce("options", F.lit("")), "slice_start": F.lit(None).cast("int"), "slice_seq": F.lit(None).cast("string")})
+
+
+def missing_contigs(panel: DataFrame, contigs: DataFrame) -> DataFrame:
+    """chromosome, other_prefix of the panel's contigs that a file (``contigs``: name)
+    lacks; the latter if it has them with, or without, the prefix chr."""
+    wanted = panel.select("chromosome").unionByName(panel.where("y_chromosome is not null").select(F.col("y_chromosome").alias("chromosome"))).distinct()
+    bare = lambda c: F.regexp_replace(c, "^chr", "")
+    lost = wanted.join(contigs.select(F.col("name").alias("chromosome")), "chromosome", "left_anti")
+    named = contigs.select(bare(F.col("name")).alias("bare")).distinct().withColumn("other_prefix", F.lit(True))
+    return lost.join(named, bare(F.col("chromosome")) == F.col("bare"), "left").select("chromosome", F.coalesce("other_prefix", F.lit(False)).alias("other_prefix"))
+
+
 def build_ranges(panel: DataFrame, known: DataFrame, contigs: DataFrame, pad: int = 200) -> tuple[DataFrame, DataFrame]:
     """(rows, skipped) for the markers of a panel: slices of ``contigs`` (name, seq), chrN or N."""
     bare = lambda c: F.regexp_replace(c, "^chr", "")

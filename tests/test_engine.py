@@ -407,7 +407,13 @@ def test_streamed_records_become_tidy_rows(spark, tmp_path, panel):
     from tandemframe.streaming import tidy_stream as T
 
     frames = engine.run(read(spark, cohort_file(tmp_path, het())), panel)
-    records = exports.run_records(frames.loci, frames.alleles, {"run_id": "r1"})
+    records = exports.run_records(frames.loci, frames.alleles, {"run_id": "r1"}, panel, Settings(calling_thresh=0.2), [("bam", "x.bam", "d")])
+    one = records.first()
+    test = next(r for r in one.results if r.marker == "TEST")
+    assert (test.system.motif, test.system.ref_start, test.thresholds.calling_thresh, one.audit.n_called, one.inputs[0].path) == ("AGAT", 101, 0.2, 1, "x.bam")
+    assert [(x.repeat_group, x.coverage_reads) for x in test.ngs_panel] == [(10, 2), (11, 12), (12, 15)] and one.summary.n_markers == 2
+    exports.write_pretty(records, str(tmp_path / "pretty"))
+    assert json.loads((tmp_path / "pretty" / "synthetic.json").read_text())["results"][0]["marker"] == "TEST"
     exports.write_json(records, str(tmp_path / "runs"))
     stream = T.tidy_stream(spark, str(tmp_path / "runs"), records.schema)
     T.start(stream, str(tmp_path / "tidy"), str(tmp_path / "cp"), once=True).awaitTermination(120)
@@ -415,6 +421,32 @@ def test_streamed_records_become_tidy_rows(spark, tmp_path, panel):
     assert sorted((r.marker, r.allele_index, r.allele_label) for r in rows) == [("EMPTY", 0, None), ("TEST", 1, "12"), ("TEST", 2, "11")]
 
 
+def test_consensus_backends_in_turn():
+    from tandemframe.operators.consensus import Abpoa, Spoa, preferred
+
+    class Here(Backend):
+        name = "here"
+
+    assert preferred((Abpoa, Spoa, Here)).name in ("poa_abpoa", "poa_spoa", "here") and preferred(()).name == "none" and preferred().consensus(["ACGT", "ACGT", "ACT"]) == "ACGT"
+
+
+def test_contigs_and_ranges(spark, tmp_path, panel):
+    contigs = spark.createDataFrame([("chr1",), ("2",)], "name string")
+    assert [tuple(r) for r in tables.missing_contigs(panel, contigs).collect()] == [("chr2", True)]
+    (tmp_path / "r.txt").write_text("name\tchromosome\tstart\tend\tref_ce\toptions\nTEST\t1\t148\t101\t12\tlimit=3\nNONE\t1\t5\t9\t7\n")
+    known = tables.load_range_table(spark, str(tmp_path / "r.txt"))
+    rows, skipped = tables.build_ranges(panel, known, spark.createDataFrame([("chr1", "ACGT" * 100)], "name string, seq string"), pad=20)
+    r = rows.first()
+    assert (r.name, r.start, r.end, r.slice_start, len(r.slice_seq)) == ("TEST", 148, 101, 81, 88) and [x.name for x in skipped.collect()] == ["EMPTY"]
+
+
+def test_naming_fallbacks_are_told(spark, tmp_path, panel):
+    ranges = spark.createDataFrame([("TEST", LEFT[-20:], RIGHT[:20], False)], "name string, left_anchor string, right_anchor string, minus boolean")
+    run = engine.run(read(spark, cohort_file(tmp_path, het())), panel, ranges=ranges)
+    told = {(r.cluster_index, r.level, r.number_method) for r in I.naming_fallbacks(run.alleles).collect()}
+    assert told == {(0, "warning", "period_ce"), (1, "warning", "period_ce"), (2, "debug", "period_ce")}
+
+
 def test_command_line(spark, tmp_path, capsys):
     from tandemframe import cli
 
