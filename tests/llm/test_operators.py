@@ -237,6 +237,64 @@ def test_fingerprint_holds_closed_syncmers(spark):
     assert row.f and all((x & (1 << 24) - 1) in closed for x in row.f) and [x >> 24 for x in row.f] == sorted({x >> 24 for x in row.f})
 
 
+def plain_fingerprint(text):
+    """Anchors (hash, position) of a text, window by window."""
+    import re
+    import struct
+
+    import xxhash
+
+    mask = (1 << 64) - 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def of_longs(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
+        return seed & mask
+
+    h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(syncmers.TOKEN, text)]
+    if len(h) < 4:
+        found = [(of_longs([x]), i) for i, x in enumerate(h)]
+    else:
+        found = [(of_longs(h[i : i + 4]), i) for i in range(len(h) - 3) if min(h[i], h[i + 3]) <= min(h[i + 1], h[i + 2])]
+        if not found:
+            return None  # the hash of a whole row of tokens isn't recomputed here
+    first = {}
+    for x, i in sorted((x >> 25, i) for x, i in found):
+        first.setdefault(x, i)
+    return sorted(first.items())[: syncmers.ANCHORS]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return 1.0 if not a and not b else 0.0
+    at_a, at_b = dict(a), dict(b)
+    least = sorted({*at_a, *at_b})[: syncmers.ANCHORS]
+    moved = sorted(at_b[x] - at_a[x] for x in least if x in at_a and x in at_b)
+    return sum(abs(x - moved[len(moved) // 2]) <= syncmers.STRAY for x in moved) / len(least) if moved else 0.0
+
+
+def test_fingerprints_by_plain_windows(edge):
+    got = {(r.doc_id, r.edited_sha256): r for r in syncmers.syncmer_fingerprints(edge).collect()}
+    rows = sorted(((r[0], r[1] or "") for r in made_rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    shown = lambda f: "".join(f"{(x << 24) | i:016X}" for x, i in f)
+    compared = 0
+    for k, (i, t) in enumerate(rows):
+        following, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        own, other, changed = (plain_fingerprint(x) for x in (t, following, edited))
+        r = got[(i, hashlib.sha256(edited.encode()).hexdigest())]
+        if own is not None:
+            assert r.fingerprint == shown(own)
+        if own is not None and changed is not None:
+            assert r.edited_fingerprint == shown(changed) and r.near_edited == pytest.approx(plain_likeness(own, changed))
+            compared += 1
+        if own is not None and other is not None:
+            assert r.near_next == pytest.approx(plain_likeness(own, other))
+    assert compared > 30
+
+
 # packing
 
 
