@@ -341,7 +341,7 @@ def test_machine_learns_a_pair_that_weights_cannot():
         a, b = rng.integers(0, 2, 2)
         rows.append(np.sort(np.array([2 if a else 3, 4 if b else 5, *rng.choice(np.arange(10, 40), 3, replace=False)], np.int32)))
         labels.append(int(a == b))
-    m = toxicity.fit(rows[:1200], np.array(labels[:1200]), dims=64, min_z=0, epochs=30, l1=0.01)
+    m = toxicity.fit(rows[:1200], np.array(labels[:1200]), dims=64, epochs=30, l1=0.01, sure_l1=0.01)
     right = np.mean([(m.score(r) >= 0.5) == y for r, y in zip(rows[1200:], labels[1200:], strict=True)])
     assert right > 0.9
 
