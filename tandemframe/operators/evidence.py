@@ -9,7 +9,6 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +17,16 @@ from ..functions import sequence as S
 from ..functions.scan import find_runs
 from ..params import FETCH_MARGIN, GAP, REFINE_PASSES, Settings
 from ..schemas import CLUSTERS, REASONS
-from .consensus import Backend, consensus_of
+from .consensus import Backend, by_counts, consensus_of, consensus_of_counts
 from .sizes import sent
 
 #: A panel of more windows than this is joined by genome bin instead of broadcast.
 BROADCAST_WINDOWS = 10_000
 _BIN = 16_384
+#: So many results of one comparison or scan are kept for the loci after it.
+KEPT = 50_000
+#: The consensus method of a locus whose clustering failed.
+FAILED = "failed"
 
 
 def windows(panel: DataFrame) -> DataFrame:
@@ -130,18 +133,34 @@ def observations(gate: DataFrame) -> DataFrame:
     )
 
 
+def sequence_counts(obs: DataFrame, *more: Column) -> DataFrame:
+    """One row for each distinct sequence of a locus, an empty one for each read:
+    reads by tag and strand, the sum of their quality, phase blocks of tagged ones.
+    Counted by block first, where plain sums do; ``more`` are aggregates with a
+    name that starts with _ids, whose arrays are put together."""
+    block = F.when(F.col("hp").isNotNull(), F.col("ps"))
+    alone = F.when(F.col("sequence") == "", F.col("read_ord"))
+    keys = ("sample_id", "marker", "sequence", "_alone")
+    counted = obs.withColumns({"_block": block, "_alone": alone}).groupBy(*keys, "_block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("read_ord").alias("first_ord"), F.count_if(F.col("hp") == 1).alias("hp1"), F.count_if(F.col("hp") == 2).alias("hp2"),
+        F.count_if(F.col("hp").isNull()).alias("hp0"), F.count_if(F.col("strand") == "+").alias("fwd"), F.count_if(F.col("strand") == "-").alias("rev"),
+        F.sum("mean_qual").alias("q"), *more,
+    )
+    joined = [F.flatten(F.collect_list(c)).alias(c) for c in counted.columns if c.startswith("_ids")]
+    return counted.groupBy(*keys).agg(
+        *(F.sum(c).alias(c) for c in ("n", "hp1", "hp2", "hp0", "fwd", "rev", "q")), F.min("first_ord").alias("first_ord"), F.collect_set("_block").alias("blocks"), *joined,
+    ).drop("_alone")
+
+
 def quick_clusters(obs: DataFrame, motif: Column | str, marker_strand: Column | str = "+") -> DataFrame:
     """Clusters by repeat-core length alone, each with its most frequent sequence
     (first read on a tie) as consensus: exact where reads differ only in copies.
 
-    One exchange by locus; the bins, their order and all later windows reuse it.
+    Reads are counted by sequence first, so that a sequence's core is looked for
+    once a locus. One exchange by locus; the bins, their order and all later
+    windows reuse it.
     """
-    binned = obs.withColumn("bin", F.coalesce(S.repeat_core_length(F.col("sequence"), motif, marker_strand), F.length("sequence")))
-    by_seq = binned.groupBy("sample_id", "marker", "bin", "sequence").agg(
-        F.count(F.lit(1)).alias("n"), F.min("read_ord").alias("first_ord"), F.count_if(F.col("hp") == 1).alias("hp1"), F.count_if(F.col("hp") == 2).alias("hp2"),
-        F.count_if(F.col("hp").isNull()).alias("hp0"), F.count_if(F.col("strand") == "+").alias("fwd"), F.count_if(F.col("strand") == "-").alias("rev"),
-        F.sum("mean_qual").alias("q"), F.collect_set(F.when(F.col("hp").isNotNull(), F.col("ps"))).alias("blocks"),
-    )
+    by_seq = sequence_counts(obs).withColumn("bin", F.coalesce(S.repeat_core_length(F.col("sequence"), motif, marker_strand), F.length("sequence")))
     merged = by_seq.groupBy("sample_id", "marker", "bin").agg(
         F.max_by("sequence", F.struct("n", (-F.col("first_ord")).alias("o"))).alias("consensus"), F.min("first_ord").alias("first_ord"),
         *(F.sum(c).cast("int").alias(name) for c, name in (("n", "n_reads"), ("hp1", "n_hp1"), ("hp2", "n_hp2"), ("hp0", "n_hp_none"), ("fwd", "n_forward"), ("rev", "n_reverse"))),
@@ -229,17 +248,28 @@ class LocusClusterer:
             raise EvidenceError("len_tolerance_bp must not be negative")
         self.motifs, self.strand, self.threshold, self.tolerance, self.backend = motifs, strand, threshold, tolerance, backend
         self._alike: dict[tuple[str, str], float] = {}
+        self._cores: dict[str, int | None] = {}
 
     def alike(self, a: str, b: str) -> float:
         key = (a, b) if a <= b else (b, a)
-        if key not in self._alike:
-            self._alike[key] = likeness(a, b, self.threshold)
-        return self._alike[key]
+        found = self._alike.get(key)
+        if found is None:
+            if len(self._alike) >= KEPT:
+                self._alike.clear()
+            found = self._alike[key] = likeness(a, b, self.threshold)
+        return found
+
+    def core(self, seq: str) -> int | None:
+        if seq not in self._cores:
+            if len(self._cores) >= KEPT:
+                self._cores.clear()
+            self._cores[seq] = core_length(seq, self.motifs, self.strand)
+        return self._cores[seq]
 
     def bins(self, seqs: list[str]) -> list[list[int]]:
         keyed: dict[int, list[int]] = {}
         for i, s in enumerate(seqs):
-            core = core_length(s, self.motifs, self.strand) if self.motifs else None
+            core = self.core(s) if self.motifs else None
             keyed.setdefault(len(s) if core is None else core, []).append(i)
         if not self.tolerance:
             return list(keyed.values())
@@ -263,14 +293,15 @@ class LocusClusterer:
             own = [i for i in own if i not in taken]
         return out
 
-    def refined(self, clusters, seqs):
+    def refined(self, clusters, seqs, counts, polished):
         """(members, consensus, method) of a bin after moving reads to nearer
         consensuses. Only clusters of two reads and more attract, the larger one on a
         tie; a read that is alike enough to none stays."""
         if len(clusters) < 2:
             return clusters
+        reads = lambda c: sum(counts[i] for i in c[0])
         for _ in range(REFINE_PASSES):
-            attractors = sorted((k for k, c in enumerate(clusters) if len(c[0]) >= 2 and c[1]), key=lambda k: -len(clusters[k][0]))
+            attractors = sorted((k for k, c in enumerate(clusters) if reads(c) >= 2 and c[1]), key=lambda k: -reads(clusters[k]))
             if not attractors:
                 break
             home = {i: k for k, c in enumerate(clusters) for i in c[0]}
@@ -283,17 +314,31 @@ class LocusClusterer:
             members: dict[int, list[int]] = {}
             for i in sorted(target):
                 members.setdefault(target[i], []).append(i)
-            clusters = [
-                clusters[k] if clusters[k][0] == own else (own, *consensus_of([seqs[i] for i in own], self.backend))
-                for k, own in sorted(members.items())
-            ]
+            clusters = [clusters[k] if clusters[k][0] == own else (own, *polished(own)) for k, own in sorted(members.items())]
         return clusters
 
-    def __call__(self, seqs: list[str]) -> list[tuple[list[int], str, str]]:
+    def __call__(self, seqs: list[str], counts: list[int] | None = None, reads: list[list[int]] | None = None) -> list[tuple[list[int], str, str]]:
+        """(members, consensus, method), the cluster of most reads first. With
+        ``counts``, ``seqs`` are distinct (but for empty ones), in the order of
+        their first reads, and members are places in ``seqs``; ``reads`` are then
+        the ordinals of each one's reads, for backends that go by every read."""
+        if counts is None:
+            at: dict = {}
+            for i, s in enumerate(seqs):
+                at.setdefault(s or i, []).append(i)
+            groups = list(at.values())
+            found = self([seqs[g[0]] for g in groups], [len(g) for g in groups], groups)
+            return [(sorted(i for k in members for i in groups[k]), consensus, method) for members, consensus, method in found]
+
+        def polished(own: list[int]) -> tuple[str, str]:
+            if by_counts(self.backend):
+                return consensus_of_counts({seqs[k]: counts[k] for k in own}, self.backend)
+            return consensus_of([seqs[k] for _, k in sorted((i, k) for k in own for i in reads[k])], self.backend)
+
         clusters = []
         for own in self.bins(seqs):
-            split = [(g, *consensus_of([seqs[i] for i in g], self.backend)) for g in self.seeded(own, seqs)]
-            clusters += self.refined(split, seqs)
+            split = [(g, *polished(g)) for g in self.seeded(own, seqs)]
+            clusters += self.refined(split, seqs, counts, polished)
         by_consensus: dict = {}
         for n, c in enumerate(clusters):
             key = c[1] if c[1] else n  # empty ones never merge
@@ -302,41 +347,57 @@ class LocusClusterer:
                 by_consensus[key] = (sorted(old[0] + c[0]), old[1], old[2])
             else:
                 by_consensus[key] = c
-        return sorted(by_consensus.values(), key=lambda c: -len(c[0]))
+        return sorted(by_consensus.values(), key=lambda c: -sum(counts[i] for i in c[0]))
 
 
-def full_clusters(obs: DataFrame, panel: DataFrame, params: Settings, backend: Callable[[], Backend] | None = None) -> DataFrame:
-    """Clusters of every locus by ``LocusClusterer``; a group is the reads of one
-    sample at one marker, some hundreds, so groups stay small at any number of samples.
+def full_clusters(obs: DataFrame, panel: DataFrame, params: Settings, backend: Callable[[], Backend] | None = None, strict: bool = True) -> DataFrame:
+    """Clusters of every locus by ``LocusClusterer``, from its distinct sequences and
+    their counts; Python sees nothing else of the reads.
 
-    A locus whose clustering fails has no clusters, so no call, and the run goes
-    on; the failure is logged where it happened.
+    A locus whose clustering fails ends the job, with its name. If not ``strict``
+    the run goes on: the failure is logged where it happened, and the locus has
+    one row without consensus and reads whose method is ``failed``.
     """
-    columns = panel.select(F.col("name").alias("marker"), "motif", F.col("strand").alias("marker_strand"), "ont_len_tolerance")
-    marked = obs.join(sent(columns, panel), "marker")
     threshold, tolerance = params["identity_threshold"], params["len_tolerance_bp"]
     backend = backend or Backend
-    LocusClusterer([], "+", threshold, tolerance, backend())  # what is wrong with the settings fails here
+    tried = backend()
+    LocusClusterer([], "+", threshold, tolerance, tried)  # what is wrong with the settings fails here
+    every_read = not by_counts(tried)
+    made: dict = {}
 
-    def of_locus(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("read_ord", kind="stable")
-        first = f.iloc[0]
-        motifs = [m for m in (first.motif or "").split(",") if m]
-        clusterer = LocusClusterer(motifs, first.marker_strand, threshold, int(first.ont_len_tolerance or 0) or tolerance, backend())
+    def of_locus(sample, marker, motif, strand, own_tolerance, seqs, counts, reads=None):
         try:
-            clusters = clusterer(f.sequence.tolist())
-        except Exception:
-            logging.getLogger("tandemframe").exception("sample %s, marker %s: no clusters", first.sample_id, first.marker)
-            clusters = []
-        rows = []
-        for index, (members, consensus, method) in enumerate(clusters):
-            own = f.iloc[members]
-            blocks = own.ps[own.hp.notna() & own.ps.notna()].unique()
-            rows.append((
-                first.sample_id, first.marker, index, consensus, method, len(own), int((own.hp == 1).sum()), int((own.hp == 2).sum()), int(own.hp.isna().sum()),
-                int((own.strand == "+").sum()), int((own.strand == "-").sum()), float(own.mean_qual.mean()), int(blocks[0]) if len(blocks) == 1 else None, len(blocks), own.read_id.tolist(),
-            ))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in CLUSTERS.split(", ")])
-        return out.astype({"phase_set": "Int32"})
-
-    return marked.groupBy("sample_id", "marker").applyInPandas(of_locus, CLUSTERS)
+            key = (motif, strand, own_tolerance)
+            if key not in made:
+                made[key] = LocusClusterer([m for m in (motif or "").split(",") if m], strand, threshold, int(own_tolerance or 0) or tolerance, backend())
+            return [(k, consensus, method, members) for k, (members, consensus, method) in enumerate(made[key](seqs, counts, reads))]
+        except Exception as e:
+            if strict:
+                raise EvidenceError(f"sample {sample}, marker {marker}: clustering failed, {type(e).__name__}: {e}") from e
+            logging.getLogger("tandemframe").exception("sample %s, marker %s: clustering failed", sample, marker)
+            return [(0, None, FAILED, [])]
+
+    found = F.udf(of_locus, "array<struct<index:int,consensus:string,method:string,members:array<int>>>", useArrow=False)
+    # what nothing uses, as a rule the reads' names, is pruned from the aggregates
+    by_seq = sequence_counts(obs, F.collect_list(F.struct("read_ord", "read_id")).alias("_ids"), F.collect_list("read_ord").alias("_ids_ord"))
+    sums = ("n", "hp1", "hp2", "hp0", "fwd", "rev", "q")
+    gathered = lambda *c: F.sort_array(F.collect_list(F.struct("first_ord", "sequence", *c)))
+    loci = by_seq.groupBy("sample_id", "marker").agg(gathered(*sums, "blocks").alias("s"), gathered("_ids").alias("ids"), gathered("_ids_ord").alias("ords"))
+    columns = panel.select(F.col("name").alias("marker"), "motif", F.col("strand").alias("marker_strand"), "ont_len_tolerance")
+    loci = loci.join(sent(columns, panel), "marker")
+    given = ["sample_id", "marker", "motif", "marker_strand", "ont_len_tolerance", F.col("s.sequence"), F.col("s.n").cast("array<int>"), *([F.col("ords._ids_ord")] if every_read else [])]
+    rows = loci.select("sample_id", "marker", "s", "ids", F.explode(found(*given)).alias("c"))
+    own = F.transform("c.members", lambda i: F.get("s", i))
+    total = F.aggregate(
+        own, F.struct(*(F.lit(0.0 if k == "q" else 0).cast("double" if k == "q" else "long").alias(k) for k in sums)),
+        lambda a, x: F.struct(*((a[k] + x[k]).alias(k) for k in sums)),
+    )
+    blocks = F.array_distinct(F.flatten(F.transform(own, lambda x: x["blocks"])))
+    ids = F.flatten(F.transform("c.members", lambda i: F.get("ids", i)["_ids"]))
+    rows = rows.withColumns({"t": total, "b": blocks})
+    told = {
+        "cluster_index": F.col("c.index"), "consensus": F.col("c.consensus"), "consensus_method": F.col("c.method"), "n_reads": F.col("t.n"), "n_hp1": F.col("t.hp1"), "n_hp2": F.col("t.hp2"), "n_hp_none": F.col("t.hp0"),
+        "n_forward": F.col("t.fwd"), "n_reverse": F.col("t.rev"), "mean_qual": F.when(F.col("t.n") > 0, F.col("t.q") / F.col("t.n")), "phase_set": F.when(F.size("b") == 1, F.get("b", 0)), "n_phase_sets": F.size("b"),
+        "read_ids": F.transform(F.sort_array(ids), lambda x: x["read_id"]),
+    }
+    return rows.select(*(told.get(c, F.col(c)).cast(kind).alias(c) for c, kind in (x.split() for x in CLUSTERS.split(", "))))
