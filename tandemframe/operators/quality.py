@@ -33,7 +33,7 @@ def locus_summary(alleles: DataFrame) -> DataFrame:
         *(F.first(c).alias(c) for c in ("marker_ord", "total_reads", "call_rule", "tri_type", "category", "kit_nomenclature_note")),
         F.array_sort(F.collect_list(F.when(called, thing))).alias("alleles_called"),
         F.sum(F.when(called, F.col("n_reads")).otherwise(0)).cast("long").alias("called_reads"),
-        F.count_if(F.col("status") == "hp_phantom").alias("n_phantoms"), F.count_if(F.col("n_phase_sets") > 1).alias("n_split"),
+        F.count_if(F.col("status") == "hp_phantom").alias("n_phantoms"), F.count_if(F.col("n_phase_sets") > 1).alias("n_split"), F.count_if(F.col("consensus_method") == "failed").alias("n_failed"),
     )
 
 
@@ -49,6 +49,7 @@ def flagged(loci: DataFrame, params: Settings = Settings()) -> DataFrame:
     biased = F.exists(c, lambda a: (a["n_forward"] + a["n_reverse"] >= P.STRAND_MIN_READS) & (stats.two_sided_binomial_p(a["n_forward"], a["n_forward"] + a["n_reverse"]) < P.STRAND_P))
     any_ = lambda test: F.exists(c, test)
     none = F.col("call_rule") == "no_data"
+    failed = F.col("n_failed") > 0 if "n_failed" in loci.columns else F.lit(False)
     m = F.col("marker")
     derived = params.changed("derived")
     text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
@@ -60,7 +61,7 @@ def flagged(loci: DataFrame, params: Settings = Settings()) -> DataFrame:
         flag("phase_block_split", F.col("n_split") > 0, text(m, ": haplotype tags span several phase blocks and count as unphased")),
         flag("hp_rescued_het", any_(lambda a: a["hp_rescued"]), text(m, ": heterozygous by phasing, not by balance")),
         flag("consensus_fallback", any_(lambda a: a["consensus_method"] == "mode"), text(m, ": a called allele has an unpolished consensus")),
-        flag("dropout", none, text(m, ": no allele called; ", F.col("total_reads").cast("string"), " read(s)")),
+        flag("dropout", none, text(m, ": no allele called; ", F.when(failed, "its clustering failed").otherwise(F.concat(F.col("total_reads").cast("string"), F.lit(" read(s)"))))),
         flag("low_coverage", ~none & (F.col("called_reads") < params["low_coverage_reads"]), text(m, ": called on ", F.col("called_reads").cast("string"), " of ", F.col("total_reads").cast("string"), " read(s); ", F.when(F.col("category") == "y_chromosomal", "the call is thin").otherwise("a minor allele may be missed"))),
         flag("strand_bias", biased, text(m, ": a called allele's reads are mostly of one strand")),
         flag("inexact_allele", any_(lambda a: a["status"] == "inexact_allele"), text(m, ": a called allele is a reconstruction")),

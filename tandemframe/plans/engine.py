@@ -42,20 +42,22 @@ def all_loci(loci: DataFrame, samples: DataFrame, panel: DataFrame) -> DataFrame
     rows = grid.join(loci, ["sample_id", "marker"], "left")
     return rows.withColumns({
         "marker_ord": F.col("_ord"), "category": F.col("_cat"), "kit_nomenclature_note": F.col("_note"), "call_rule": F.coalesce("call_rule", F.lit("no_data")), "tri_type": F.coalesce("tri_type", F.lit("")),
-        "alleles_called": F.coalesce("alleles_called", F.array().cast(kind)), **{c: F.coalesce(c, F.lit(0)) for c in ("total_reads", "called_reads", "n_phantoms", "n_split")},
+        "alleles_called": F.coalesce("alleles_called", F.array().cast(kind)), **{c: F.coalesce(c, F.lit(0)) for c in ("total_reads", "called_reads", "n_phantoms", "n_split", "n_failed")},
     }).drop("_ord", "_cat", "_note")
 
 
-def run(reads: DataFrame, panel: DataFrame, params: Settings = Settings(), model: StutterModel = StutterModel(), catalog: DataFrame | None = None, ranges: DataFrame | None = None, backend=Backend, samples: DataFrame | None = None, namer=None) -> RunFrames:
+def run(reads: DataFrame, panel: DataFrame, params: Settings = Settings(), model: StutterModel = StutterModel(), catalog: DataFrame | None = None, ranges: DataFrame | None = None, backend=Backend, samples: DataFrame | None = None, namer=None, strict: bool = False) -> RunFrames:
     """Nothing is computed until a table of the result is used.
 
     One sample failing to be read is the source's concern: it hands on what it
     could read. A sample given in ``samples`` without reads has no_data throughout.
+    A locus whose clustering fails ends the job if ``strict``; else it has no call,
+    a cluster row of the method ``failed``, n_failed of 1 and a flag that says so.
     """
     gate = E.gated(reads, panel, params)
     repeats = sent(panel.where("marker_type <> 'amel'").select(F.col("name").alias("marker")), panel)
     obs = E.observations(gate.join(repeats, "marker", "left_semi"))
-    clusters = E.full_clusters(obs, panel, params, backend)
+    clusters = E.full_clusters(obs, panel, params, backend, strict)
     alleles = interpret(clusters, panel, params, model, catalog, ranges, namer)
     samples = reads.select("sample_id").distinct() if samples is None else samples
     sex = I.sex_calls(gate, panel, samples)

@@ -73,7 +73,7 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run(spark, d) -> tuple[engine.RunFrames, DataFrame]:
     windows = panel(spark)
-    return engine.run(aligned(spark, d), windows, SETTINGS, MODEL), windows
+    return engine.run(aligned(spark, d), windows, SETTINGS, MODEL, strict=True), windows
 
 
 def q_gate_windows(spark, d):

@@ -190,6 +190,41 @@ def test_a_locus_that_fails_fails_alone(spark, tmp_path, panel):
     assert {r.marker: r.call_rule for r in loci} == {"TEST": "no_data", "EMPTY": "no_data"}
 
 
+def test_a_failed_locus_is_told_from_one_without_reads(spark, tmp_path, panel):
+    """Strict runs end with the locus's name; others keep a row, a count and a message."""
+    class Odd(E.LocusClusterer):
+        def __call__(self, *a):
+            raise RuntimeError("odd")
+
+    reads = read(spark, cohort_file(tmp_path, het()))
+    was, E.LocusClusterer = E.LocusClusterer, Odd
+    try:
+        with pytest.raises(Exception, match="marker TEST: clustering failed"):
+            engine.run(reads, panel, strict=True).clusters.collect()
+        frames = engine.run(reads, panel)
+        row, loci = frames.clusters.first(), {r.marker: r for r in frames.loci.collect()}
+    finally:
+        E.LocusClusterer = was
+    assert (row.consensus, row.consensus_method, row.n_reads) == (None, "failed", 0)
+    assert {m: r.n_failed for m, r in loci.items()} == {"TEST": 1, "EMPTY": 0}
+    assert [f.message for f in loci["TEST"].flags if f.code == "dropout"] == ["TEST: no allele called; its clustering failed"]
+
+
+def test_distinct_sequences_with_counts_cluster_as_their_reads_do():
+    """A backend that is given every read, and one that goes by counts and keeps its graphs."""
+    class Listed(Backend):
+        def consensus(self, seqs):
+            return super().consensus(seqs)
+
+    rng, kept = random.Random(11), Backend()
+    for _ in range(30):
+        reads = ["C" * 40 + "AGAT" * rng.choice((8, 9)) + rng.choice(("", "T", "TT")) + "G" * 20 for _ in range(25)] + ["", ""]
+        rng.shuffle(reads)
+        plain = clusterer(backend=Listed())(reads)
+        assert clusterer(backend=kept)(reads) == plain and sorted(i for m, _, _ in plain for i in m) == list(range(27))
+    assert clusterer()(["AGAT" * 9, "AGAT" * 8], [2, 5]) == [([1], "AGAT" * 8, "poa_native"), ([0], "AGAT" * 9, "poa_native")]
+
+
 def test_settings_are_checked():
     from tandemframe.errors import ParameterError
 
