@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EvidenceError
 from ..functions import sequence as S
-from ..functions.scan import find_runs
+from ..functions.scan import averaged, find_runs, located
 from ..params import FETCH_MARGIN, GAP, REFINE_PASSES, Settings
 from ..schemas import CLUSTERS, REASONS
 from .consensus import Backend, by_counts, consensus_of, consensus_of_counts
@@ -74,41 +74,26 @@ def reject_reason(params: Settings) -> Column:
 def window_on_read(cigar: Column, ref_start: Column, start: Column, end: Column) -> Column:
     """struct<from, to> in the read of reference window [start, end): from the first
     aligned base at or after start to the base at end, or past the last aligned one
-    before it; NULL if there are none. The same as ``scan.locate_window``, in the JVM."""
-    none = F.lit(None).cast("int")
-    state = F.struct(ref_start.cast("int").alias("r"), F.lit(0).alias("q"), none.alias("first"), none.alias("last"), none.alias("stop"))
-    a, b = start.cast("int"), end.cast("int")
+    before it; NULL if there are none. ``scan.locate_window`` by batches of reads."""
+    return located()(cigar, ref_start.cast("int"), start.cast("int"), end.cast("int"))
 
-    def step(s, c):
-        n, op = c["len"], c["op"].cast("int")
-        both, past = op.isin(0, 7, 8), s["r"] + n
-        return F.struct(
-            F.when(op.isin(0, 2, 3, 7, 8), past).otherwise(s["r"]).alias("r"), F.when(op.isin(0, 1, 4, 7, 8), s["q"] + n).otherwise(s["q"]).alias("q"),
-            F.when(both & s["first"].isNull() & (past > a), s["q"] + F.greatest(F.lit(0), a - s["r"])).otherwise(s["first"]).alias("first"),
-            F.when(both & (s["r"] < b), s["q"] + F.least(n, b - s["r"]) - 1).otherwise(s["last"]).alias("last"),
-            F.when(both & s["stop"].isNull() & (s["r"] <= b) & (b < past), s["q"] + b - s["r"]).otherwise(s["stop"]).alias("stop"),
-        )
 
-    def found(s):
-        to = F.coalesce(s["stop"], s["last"] + 1)
-        return F.when(to > s["first"], F.struct(s["first"].alias("from"), to.alias("to")))
+def gated(reads: DataFrame, panel: DataFrame, params: Settings, n_windows: int | None = None) -> DataFrame:
+    """Fetched reads with reason and, of those that pass, the window's sequence and mean quality.
 
-    return F.aggregate(cigar, state, step, found)
-
-
-def gated(reads: DataFrame, panel: DataFrame, params: Settings) -> DataFrame:
-    """Fetched reads with reason and, of those that pass, the window's sequence."""
-    found = fetched(reads, windows(panel)).withColumn("reason", reject_reason(params))
+    Every fetched read that passes the cheap gates is walked, whatever is filtered
+    afterwards: a caller that needs some markers gives their part of the panel.
+    """
+    found = fetched(reads, windows(panel), n_windows).withColumn("reason", reject_reason(params))
 
     # only reads that passed the cheap gates have their alignment walked
-    walked = window_on_read(F.col("cigar"), F.col("ref_start"), F.col("start0"), F.col("end0"))
-    found = found.withColumn("at", F.when(F.col("reason").isNull(), walked))
+    walked = window_on_read(F.when(F.col("reason").isNull(), F.col("cigar")), F.col("ref_start"), F.col("start0"), F.col("end0"))
+    found = found.withColumn("at", walked)
     lost = F.col("reason").isNull() & F.col("at.from").isNull()
     found = found.withColumn("reason", F.when(lost, "window_unlocatable").otherwise(F.col("reason")))
     passed = F.col("reason").isNull()
     size = F.col("at.to") - F.col("at.from")
-    quals = F.slice("qual", F.col("at.from") + 1, size)
-    mean = F.when(F.coalesce(F.size("qual"), F.lit(0)) > 0, F.aggregate(quals, F.lit(0.0), lambda a, q: a + q) / F.size(quals))
+    mean = averaged()(F.when(passed, F.slice("qual", F.col("at.from") + 1, size)))
     return found.withColumns({
         "sequence": F.when(passed, F.upper(F.substring("seq", F.col("at.from") + 1, size))),
         "mean_qual": F.when(passed, F.coalesce(mean, F.lit(0.0))),

@@ -17,7 +17,6 @@ from ..operators import evidence as E
 from ..operators import interpretation as I
 from ..operators import quality as Q
 from ..params import FLAGS, THRESHOLDS, Settings, StutterModel
-from ..schemas import CIGAR
 from ..sinks import exports
 from ..sources import tables
 from . import engine, fixtures
@@ -52,13 +51,15 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda x, k: F.repeat(F.lit(x), F.lit(k) if isinstance(k, int) else k)
     core = F.when(m == 1, text("ATCT", F.col("n"))).when(m == 2, F.concat(text("AGAT", F.col("n")), F.lit("AGACAGAC"))).when(m == 3, F.concat(text("AGAT", F.col("n")), F.lit("CCAGATA"))).when(m == 5, text("T", 48)).otherwise(text("AGAT", F.col("n")))
     r = r.withColumn("core", core).withColumns({"window": F.concat(text("C", 25), "core", text("G", 25)), "size": F.length("core")})
-    op = lambda code, n: F.struct(F.lit(code).cast("tinyint").alias("op"), n.cast("int").alias("len"))
-    size, lf, rf = F.col("size"), F.col("lf"), F.col("rf")
-    moved = (
-        F.when(F.col("gone"), F.array(op(0, lf), op(2, F.lit(98)), op(0, rf))).when(size == 48, F.array(op(0, lf + 98 + rf)))
-        .when(size < 48, F.array(op(0, lf + 25 + size), op(2, 48 - size), op(0, rf + 25))).otherwise(F.array(op(0, lf + 73), op(1, size - 48), op(0, rf + 25)))
-    )
-    clipped = F.col("l_linenumber") == 5
+    op = lambda code, n: F.struct((F.lit(code) if isinstance(code, int) else code).cast("tinyint").alias("op"), n.cast("int").alias("len"))
+    size, lf, rf, gone, clipped = F.col("size"), F.col("lf"), F.col("rf"), F.col("gone"), F.col("l_linenumber") == 5
+    # clip, bases, gap, bases; what has no length is left out. A lambda isn't fused with what is around it: with the
+    # range join on top, the code that Spark made of a branch for each shape was longer than the JVM compiles
+    whole = ~gone & (size == 48)
+    cigar = F.filter(F.array(
+        op(4, F.when(clipped, 3).otherwise(0)), op(0, F.when(whole, lf + 98 + rf).when(gone, lf).otherwise(lf + 25 + F.least(size, F.lit(48)))),
+        op(F.when(gone | (size < 48), 2).otherwise(1), F.when(gone, 98).otherwise(F.abs(size - 48))), op(0, F.when(whole, 0).when(gone, rf).otherwise(rf + 25)),
+    ), lambda x: x["len"] > 0)
     seq = F.concat(F.when(clipped, "TTT").otherwise(""), text("C", lf), F.when(F.col("gone"), "").otherwise(F.col("window")), text("G", rf))
     order = Window.partitionBy("l_suppkey", "m").orderBy(*fixtures.ORDER)
     return r.withColumn("read_ord", F.row_number().over(order).cast("long")).withColumn("seq", F.when(F.col("noseq"), "").otherwise(seq)).select(
@@ -66,7 +67,7 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("l_linenumber") == 6) & (F.col("l_tax") >= 0.08), 256).otherwise(F.when(F.col("l_returnflag") == "R", 16).otherwise(0)).alias("flag"),
         F.when(m < 5, F.concat(F.lit("chr"), (m + 1).cast("string"))).when(even, "chrX").otherwise("chrY").alias("chrom"), (F.col("start") - lf).alias("ref_start"),
         F.when(~F.col("noend"), F.col("start") + 98 + rf).alias("ref_end"), F.when(F.col("l_discount") >= 0.10, 5).when(F.col("l_tax") == 0.04, 15).otherwise(60).alias("mapq"),
-        F.when(clipped, F.concat(F.array(op(4, F.lit(3))), moved)).otherwise(moved).cast(CIGAR).alias("cigar"), "seq",
+        cigar.alias("cigar"), "seq",
         F.array_repeat((20 + F.col("l_quantity").cast("int") % 20).cast("tinyint"), F.length("seq")).alias("qual"), F.lit(None).cast("int").alias("hp"), F.lit(None).cast("int").alias("ps"),
     )
 

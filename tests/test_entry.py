@@ -33,3 +33,25 @@ def test_one_exchange_from_scan_to_genotype(spark):
 def test_exchanges_of_cohort_queries(spark, name, most, scans):
     plan = entry.queries()[name](spark, entry.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"\bExchange\b", plan)) <= most and plan.count("FileScan") == scans
+
+
+@pytest.mark.parametrize(("name", "walks"), [("q_gate_windows", 1), ("q_gate_funnel", 1)])
+def test_reads_are_walked_once(spark, name, walks):
+    """Not again in filters on the gate's reason or in the range join."""
+    plan = entry.queries()[name](spark, entry.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("[walked(") == walks and "aggregate(cigar" not in plan
+    assert not re.search(r"\w+Join.*(walked|aggregate)\(", plan)
+
+
+@pytest.mark.parametrize("name", ["q_gate_windows"])
+def test_generated_code_is_compiled(spark, name):
+    """The JVM interprets methods of more than 8,000 bytes for ever."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        code = entry.queries()[name](spark, entry.SMOKE_DIR)._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) <= 8000, sizes

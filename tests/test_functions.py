@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,17 @@ def test_edits_against_plain_dynamic_programming():
 def test_reverse_complement_is_its_own_inverse(spark):
     assert one(spark, S.reverse_complement(S.reverse_complement(F.lit("ACGTNacgtn"))))[0] == "ACGTNacgtn"
     assert re.fullmatch("[ACGTN]+", one(spark, S.reverse_complement(F.lit("GATTACA")))[0])
+
+
+def test_windows_of_batches_with_nulls_and_means():
+    kind = pa.list_(pa.struct([("op", pa.int8()), ("len", pa.int32())]))
+    cigar = pa.array([[{"op": 0, "len": 300}], None, [], [{"op": 4, "len": 5}, {"op": 0, "len": 300}], [{"op": 0, "len": 300}]], kind)
+    starts, ends = pa.array([100, 100, 100, 100, None], pa.int32()), pa.array([148] * 5, pa.int32())
+    nought = pa.array([0] * 5, pa.int32())
+    whole = scan.locate_windows(cigar, nought, starts, ends).to_pylist()
+    assert whole == [{"from": 100, "to": 148}, None, None, {"from": 105, "to": 153}, None]
+    assert scan.locate_windows(cigar[3:], nought[3:], starts[3:], ends[3:]).to_pylist() == whole[3:]
+    assert scan.locate_windows(cigar[:0], nought[:0], starts[:0], ends[:0]).to_pylist() == []
+    quals = pa.array([[1, 2, 4, 5], None, [], [127] * 9, [3, None]], pa.list_(pa.int8()))
+    assert scan.means(quals).to_pylist() == [3.0, None, None, 127.0, None]
+    assert scan.means(quals[3:]).to_pylist() == [127.0, None] and scan.means(quals[:0]).to_pylist() == []
