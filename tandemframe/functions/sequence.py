@@ -70,7 +70,9 @@ def _scanned(seq: Column, motif) -> Column:
 
     def run_at(i: Column) -> Column:
         rest = F.substring(seq, i + 1, n)
-        found = F.transform(F.split(_col(motif), ","), lambda m, k: F.struct(F.coalesce(F.length(F.regexp_substr(rest, F.concat(F.lit("^(?:"), m, F.lit(")+")))), F.lit(0)).alias("bp"), (-k).alias("k"), m.alias("m")))
+        # a pattern is compiled anew for each motif, so only where its run begins
+        length = lambda m: F.when(F.startswith(rest, m), F.length(F.regexp_substr(rest, F.concat(F.lit("^(?:"), m, F.lit(")+")))))
+        found = F.transform(F.split(_col(motif), ","), lambda m, k: F.struct(F.coalesce(length(m), F.lit(0)).alias("bp"), (-k).alias("k"), m.alias("m")))
         return F.array_max(found)
 
     def step(s: Column, i: Column) -> Column:

@@ -14,6 +14,9 @@ from ..operators.consensus import Backend
 from ..operators.sizes import sent
 from ..params import Settings, StutterModel
 
+#: The contigs of at most so many sex markers' windows become a filter on the reads.
+SEX_CONTIGS = 100
+
 
 @dataclass
 class RunFrames:
@@ -54,14 +57,17 @@ def run(reads: DataFrame, panel: DataFrame, params: Settings = Settings(), model
     A locus whose clustering fails ends the job if ``strict``; else it has no call,
     a cluster row of the method ``failed``, n_failed of 1 and a flag that says so.
     """
-    gate = E.gated(reads, panel, params)
-    repeats = sent(panel.where("marker_type <> 'amel'").select(F.col("name").alias("marker")), panel)
-    obs = E.observations(gate.join(repeats, "marker", "left_semi"))
+    n_windows = E.windows(panel).count()
+    sexed = panel.where("marker_type = 'amel'")
+    contigs = [r.w_chrom for r in E.windows(sexed).select("w_chrom").distinct().limit(SEX_CONTIGS + 1).collect()]
+    near = reads.where(F.col("chrom").isin(contigs)) if len(contigs) <= SEX_CONTIGS else reads  # told before the join, so that no other read is put together for it
+    gate, repeats, letters = (E.gated(rows, part, params, n_windows) for rows, part in ((reads, panel), (reads, panel.where("marker_type <> 'amel'")), (near, sexed)))
+    obs = E.observations(repeats)
     clusters = E.full_clusters(obs, panel, params, backend, strict)
     alleles = interpret(clusters, panel, params, model, catalog, ranges, namer)
     samples = reads.select("sample_id").distinct() if samples is None else samples
-    sex = I.sex_calls(gate, panel, samples)
-    if panel.where("marker_type = 'amel'").head() is not None:  # the sex marker is a locus like any other in all that follows
+    sex = I.sex_calls(letters, panel, samples)
+    if contigs:  # the sex marker is a locus like any other in all that follows
         alleles = alleles.unionByName(I.sex_alleles(sex, alleles))
     loci = Q.flagged(all_loci(Q.locus_summary(alleles), samples, panel), params)
     return RunFrames(gate, obs, clusters, alleles, loci, sex)

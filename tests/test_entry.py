@@ -35,15 +35,16 @@ def test_exchanges_of_cohort_queries(spark, name, most, scans):
     assert len(re.findall(r"\bExchange\b", plan)) <= most and plan.count("FileScan") == scans
 
 
-@pytest.mark.parametrize(("name", "walks"), [("q_gate_windows", 1), ("q_gate_funnel", 1)])
+@pytest.mark.parametrize(("name", "walks"), [("q_gate_windows", 1), ("q_gate_funnel", 1), ("q_run_clusters", 1), ("q_run_loci", 2)])
 def test_reads_are_walked_once(spark, name, walks):
-    """Not again in filters on the gate's reason or in the range join."""
+    """Once for the repeats and once for the sex marker, each with its own reads;
+    not again in the filters on the gate's reason or in the range join."""
     plan = entry.queries()[name](spark, entry.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("[walked(") == walks and "aggregate(cigar" not in plan
     assert not re.search(r"\w+Join.*(walked|aggregate)\(", plan)
 
 
-@pytest.mark.parametrize("name", ["q_gate_windows"])
+@pytest.mark.parametrize("name", ["q_gate_windows", "q_run_clusters", "q_run_loci"])
 def test_generated_code_is_compiled(spark, name):
     """The JVM interprets methods of more than 8,000 bytes for ever."""
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
