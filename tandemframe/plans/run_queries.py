@@ -98,9 +98,8 @@ def q_run_clusters(spark, d):
 def q_run_evidence(spark, d):
     """The evidence table of a run: notation, summary and number of every cluster."""
     run = _run(spark, d)[0]
-    numbers = run.alleles.select(F.col("sample_id").alias("sample"), "marker", "cluster_index", "number", "number_method", "number_label")
-    table = exports.evidence_table(run.alleles).select("sample", "marker", "cluster_index", "status", "isfg", "motif_repeat_summary", "length_bp", "bp_diff", "is_deletion", "n_reads_total")
-    return table.join(numbers, ["sample", "marker", "cluster_index"])
+    numbers = ("number", "number_method", "number_label")
+    return exports.evidence_table(run.alleles, *numbers).select("sample", "marker", "cluster_index", "status", "isfg", "motif_repeat_summary", "length_bp", "bp_diff", "is_deletion", "n_reads_total", *numbers)
 
 
 def q_run_loci(spark, d):

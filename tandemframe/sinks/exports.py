@@ -90,11 +90,12 @@ def profile_table(loci: DataFrame, panel: DataFrame) -> DataFrame:
     return rows.select("sample", "marker", "chrom", "ref_start", "ref_end", "motif", "call_rule", "tri_type", "status_chip", "total_reads", *slots)
 
 
-def evidence_table(alleles: DataFrame) -> DataFrame:
+def evidence_table(alleles: DataFrame, *more: str) -> DataFrame:
+    """A row for each cluster; ``more`` are columns of ``alleles`` that follow under their own names."""
     return alleles.select(
         F.col("sample_id").alias("sample"), "marker", "cluster_index", "status", "isfg", F.col("repeat_label_source").alias("isfg_source"), F.col("repeat_summary").alias("motif_repeat_summary"), "consensus", "length_bp", "ce",
         "allele_numeric", "allele_numeric_source", "bp_diff", "is_deletion", F.col("n_reads").alias("n_reads_total"), F.col("n_hp1").alias("n_reads_hp1"), F.col("n_hp2").alias("n_reads_hp2"), F.col("n_hp_none").alias("n_reads_hp_none"),
-        "n_forward", "n_reverse", F.bround("mean_qual", 2).alias("mean_qual"), F.bround("expected_stutter", 3).alias("expected_stutter"), F.bround("fraction", 4).alias("fraction"),
+        "n_forward", "n_reverse", F.bround("mean_qual", 2).alias("mean_qual"), F.bround("expected_stutter", 3).alias("expected_stutter"), F.bround("fraction", 4).alias("fraction"), *more,
     )
 
 

@@ -35,7 +35,7 @@ def test_exchanges_of_cohort_queries(spark, name, most, scans):
     assert len(re.findall(r"\bExchange\b", plan)) <= most and plan.count("FileScan") == scans
 
 
-@pytest.mark.parametrize(("name", "walks"), [("q_gate_windows", 1), ("q_gate_funnel", 1), ("q_run_clusters", 1), ("q_run_loci", 2)])
+@pytest.mark.parametrize(("name", "walks"), [("q_gate_windows", 1), ("q_gate_funnel", 1), ("q_run_clusters", 1), ("q_run_evidence", 2), ("q_run_loci", 2)])
 def test_reads_are_walked_once(spark, name, walks):
     """Once for the repeats and once for the sex marker, each with its own reads;
     not again in the filters on the gate's reason or in the range join."""
@@ -44,7 +44,14 @@ def test_reads_are_walked_once(spark, name, walks):
     assert not re.search(r"\w+Join.*(walked|aggregate)\(", plan)
 
 
-@pytest.mark.parametrize("name", ["q_gate_windows", "q_run_clusters", "q_run_loci"])
+def test_sex_marker_meets_its_own_reads(spark):
+    """Others are dropped by the scan's filter, and evidence comes from one run."""
+    plan = entry.queries()["q_run_evidence"](spark, entry.SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if " Filter " in line and "l_partkey" in line and "IN (chrX,chrY)" in line]
+    assert len(filters) == 1 and plan.count("of_locus(") == 1
+
+
+@pytest.mark.parametrize("name", ["q_gate_windows", "q_run_clusters", "q_run_evidence", "q_run_loci"])
 def test_generated_code_is_compiled(spark, name):
     """The JVM interprets methods of more than 8,000 bytes for ever."""
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
